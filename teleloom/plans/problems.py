@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from teleloom.functions.ids import normal_id, pack_ids
-from teleloom.operators import grid, hierarchy, late
+from teleloom.operators import grid, hierarchy, late, spikes
 from teleloom.operators.dedup import DedupStore
 from teleloom.operators.nested import NestedTables
 from teleloom.plans.storage import Workspace
@@ -59,6 +59,14 @@ def p5_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NestedTables(table(spark, sf_dir, "trace_payloads")).events()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.flag(table(spark, sf_dir, "metric_points")).select("arrival_seq")
+
+
+def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.flag(table(spark, sf_dir, "metric_points"))
+
+
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans with set ids as messages: key, arrival_seq, part (day of arrival), batch_seq."""
     t, s = normal_id("trace_id"), normal_id("span_id")
@@ -91,4 +99,4 @@ def p7_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "spans").join(keep, "arrival_seq", "left_semi").select("arrival_seq", normal_id("trace_id").alias("trace_id"), normal_id("span_id").alias("span_id"), "name", "service_name", "start_ns", "duration_ns", "status_code")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_grid, p4_found, p4_periods, p5_found, p5_spans, p5_events, p7_found, p7_winners)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_grid, p4_found, p4_periods, p5_found, p5_spans, p5_events, p6_found, p6_reasons, p7_found, p7_winners)}
