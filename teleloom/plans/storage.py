@@ -61,3 +61,12 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         delete(self.spark, self.path(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where its files give fewer: before costly work on each row.
+
+    Large inputs have more splits than cores and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
