@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from teleloom.plans.storage import spread
+
 #: Most items the broadcast index may hold; beyond it the items are searched in that many parts.
 MOST_ITEMS = 20_000
 WINDOW, STEP, BLOCK, THRESHOLD = 48, 24, 16, 18.0
@@ -196,6 +198,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
                 got = [(d, i, k) for d, t in zip(pdf["i"], pdf["t"]) for i, k in leaked(ix, t, threshold)]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "n_words"])
 
-        part = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).mapInPandas(search, "doc_id bigint, item_id bigint, n_words bigint")
+        part = spread(docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t"))).mapInPandas(search, "doc_id bigint, item_id bigint, n_words bigint")
         out = part if out is None else out.unionByName(part)
     return out

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from teleloom.plans.storage import Workspace
+from teleloom.plans.storage import Workspace, spread
 
 TOKENIZERS = "/opt/tokenizers"
 SHARD, GOOD = 20_000, 0.98
@@ -48,7 +48,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["i"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["t"]]})
 
-    return docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).mapInPandas(count, "doc_id bigint, n_tokens bigint")
+    return spread(docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))).mapInPandas(count, "doc_id bigint, n_tokens bigint")
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

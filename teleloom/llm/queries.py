@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from teleloom.llm import leaks, packing, quantiles
+from teleloom.llm import leaks, packing, quality, quantiles
 from teleloom.sources.tables import table
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
@@ -41,7 +41,28 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p8_packs, p8_report, p9_found)}
+def p9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.statistics(docs, quality.fit_profiles(docs, table(spark, sf_dir, "doc_labels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statistics(spark, sf_dir).filter(~F.col("is_prose")).select("doc_id").distinct()
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statistics(spark, sf_dir)
+
+
+def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p8_packs, p8_report, p9_found, p9_runs, p10_found, p10_statistics, p10_counts)}
 
 #: Exact ranks; the summaries are exact for groups of fewer than 2048 values, which all groups are at this scale.
 _RANKS = """WITH ranked AS (
@@ -53,4 +74,11 @@ SELECT service_name, name, CAST(max(n) AS BIGINT) AS n, CAST(0 AS BIGINT) AS ran
   min(duration_ns) FILTER (WHERE r >= 0.99 * n) AS p99
 FROM ranked GROUP BY service_name, name"""
 
-SQL = {"p1_percentiles": _RANKS, "p1_from_days": _RANKS}
+_COUNTS = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, t, trim(regexp_replace(t, '[ \t\n\r]+', ' ', 'g')) AS w, regexp_replace(t, '[ \t\n\r]+', '', 'g') AS b FROM t)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars,
+  CAST(CASE WHEN w = '' THEN 0 ELSE length(w) - length(replace(w, ' ', '')) + 1 END AS BIGINT) AS n_words,
+  CAST(CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + 1 END AS BIGINT) AS n_lines,
+  CAST(length(b) AS BIGINT) AS n_word_chars FROM s"""
+
+SQL = {"p10_counts": _COUNTS, "p1_percentiles": _RANKS, "p1_from_days": _RANKS}
