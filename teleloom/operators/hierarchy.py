@@ -53,18 +53,17 @@ def endless(spans: DataFrame) -> DataFrame:
     return now.select(packed_trace("node").alias("trace_id"), packed_span("node").alias("span_id"))
 
 
-def hierarchy(spans: DataFrame) -> DataFrame:
-    """For each first-arrived span: trace_id, span_id, root_span_id, depth (root 0), path (span ids from the root,
-    joined by ``/``) and endless (true on or below a loop, where root, depth and path are null).
+def tree(nodes: DataFrame) -> DataFrame:
+    """Paths of ``nodes`` (node, parent: packed keys, one row per node; seg: its piece of a path).
 
-    A span whose parent is unset or unknown in its trace is a root.
+    (node, trace_id, span_id, root, depth, path, endless): root is the root's span id, path the pieces from the root
+    on, joined by ``/``. A node whose parent is null or not among the nodes is a root. On or below a loop root, depth
+    and path are null and endless is true.
     """
-    spark = spans.sparkSession
-    ws = Workspace(spark, "hierarchy")
-    nodes = ws.put("nodes", first_arrivals(spans))
+    ws = Workspace(nodes.sparkSession, "tree")
+    nodes = ws.put("nodes", nodes)
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    seg = packed_span("node")
-    start = ws.put("start", lookup_join(nodes, known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.lit(0).alias("depth"), seg.alias("path")))
+    start = ws.put("start", lookup_join(nodes, known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.lit(0).alias("depth"), F.col("seg").alias("path")))
     done = [start.filter("parent is null").withColumn("root", packed_span("node"))]
     active, k, left = start.filter("parent is not null").withColumn("depth", F.lit(1)), 0, -1
     while True:
@@ -75,6 +74,7 @@ def hierarchy(spans: DataFrame) -> DataFrame:
         ended = done[0]
         for d in done[1:]:
             ended = ended.unionByName(d)
+        # A pointer that leads to an ended node ends too, one that leads to an active node takes over its pointer.
         target = ended.select(F.col("node").alias("parent"), F.lit(None).cast("binary").alias("next"), F.col("depth").alias("d"), F.col("path").alias("up"), "root").unionByName(
             active.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("depth").alias("d"), F.col("path").alias("up"), F.lit(None).cast("string").alias("root")))
         step = ws.put(f"round{k}", lookup_join(active, target, "parent").select("node", F.col("next").alias("parent"), (F.col("depth") + F.col("d")).alias("depth"), F.concat_ws("/", "up", "path").alias("path"), "root"))
@@ -83,10 +83,20 @@ def hierarchy(spans: DataFrame) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = out.select("node", "root", "depth", "path", F.lit(False).alias("endless"))
     none = F.lit(None)
-    out = out.unionByName(active.select("node", none.cast("string").alias("root"), none.cast("int").alias("depth"), none.cast("string").alias("path"), F.lit(True).alias("endless")))
-    return out.select(packed_trace("node").alias("trace_id"), packed_span("node").alias("span_id"), F.col("root").alias("root_span_id"), F.col("depth").cast("bigint").alias("depth"), "path", "endless")
+    out = out.select("node", "root", "depth", "path", F.lit(False).alias("endless")).unionByName(
+        active.select("node", none.cast("string").alias("root"), none.cast("int").alias("depth"), none.cast("string").alias("path"), F.lit(True).alias("endless")))
+    return out.select("node", packed_trace("node").alias("trace_id"), packed_span("node").alias("span_id"), "root", F.col("depth").cast("bigint").alias("depth"), "path", "endless")
+
+
+def hierarchy(spans: DataFrame) -> DataFrame:
+    """For each first-arrived span: trace_id, span_id, root_span_id, depth (root 0), path (span ids from the root,
+    joined by ``/``) and endless (true on or below a loop, where root, depth and path are null).
+
+    A span whose parent is unset or unknown in its trace is a root.
+    """
+    t = tree(first_arrivals(spans).withColumn("seg", packed_span("node")))
+    return t.select("trace_id", "span_id", F.col("root").alias("root_span_id"), "depth", "path", "endless")
 
 
 def descendants(tree: DataFrame) -> DataFrame:
