@@ -72,6 +72,7 @@ class Index:
         tri = Counter(g for w in self.words for g in set(zip(w, w[1:], w[2:])))
         #: Positions of an item where a run of three words starts that fewer than `shared` items have.
         self.own = [[tri[g] < shared for g in zip(w, w[1:], w[2:])] for w in self.words]
+        self.own_runs = [[g for g, o in zip(zip(w, w[1:], w[2:]), own) if o] for w, own in zip(self.words, self.own)]
 
     def search(self, grams: set, threshold: float) -> list[int]:
         """Items whose score is at or above the threshold (all of them)."""
@@ -165,6 +166,9 @@ def leaked(index: Index, text: str | None, threshold: float = THRESHOLD, window:
                 merged.append([max(0, a - reach), b + reach])
         for a, b in merged:
             part = ws[a:b]
+            there = set(zip(part, part[1:], part[2:]))
+            if sum(g in there for g in index.own_runs[j]) < LEAST_OWN:
+                continue  # no alignment can hold enough of the item's own wording
             # A very long stretch is verified in overlapping pieces of bounded length.
             for c in range(0, max(1, len(part) - 2 * reach), 2048):
                 path = align(item, part[c : c + 2048 + 2 * reach])
