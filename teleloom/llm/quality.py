@@ -44,75 +44,78 @@ _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 SHORT = 6  # a line of fewer tokens takes the kind of its neighbours
 
 
-def token_vector(text: str) -> tuple[np.ndarray, str]:
-    """Counts over KINDS + CHARS (unnormalised) and the language of most function words."""
-    tokens = _TOKEN.findall(text)
-    kinds = dict.fromkeys(KINDS, 0)
-    hits = dict.fromkeys(_SETS, 0)
-    fn = 0
-    for t in tokens:
-        if len(t) == 1 and t in _MARKS:
-            kinds["mark"] += 1
-        elif _ALPHA.match(t):
-            low = t.lower()
-            parts = [low] if "'" not in low and "’" not in low else [p for p in re.split("['’]", low) if p]
-            found = False
-            for lang, s in _SETS.items():
-                if any(p in s for p in parts):
-                    hits[lang] += 1
-                    found = True
-            if found:
-                fn += 1
-            if len(t) > 24:
-                kinds["mixed"] += 1
-            elif t.isupper() and len(t) > 1:
-                kinds["caps"] += 1
-            elif t[0].isupper():
-                kinds["name" if t[1:].islower() or len(t) == 1 else "mixed"] += 1
-            else:
-                kinds["word" if t.islower() else "mixed"] += 1
-        elif _NUM.match(t):
-            kinds["number"] += 1
-        elif any(c.isalnum() for c in t):
-            kinds["mixed"] += 1
+_LANGS = tuple(_SETS)
+_SEEN: dict[str, tuple[int, int]] = {}  # token -> (kind, bits of the languages it is a function word of)
+
+
+def _classify(t: str) -> tuple[int, int]:
+    kind, bits = 0, 0
+    if len(t) == 1 and t in _MARKS:
+        kind = 6
+    elif _ALPHA.match(t):
+        parts = [p for p in re.split("['’]", t.lower()) if p]
+        bits = sum(1 << i for i, lang in enumerate(_LANGS) if any(p in _SETS[lang] for p in parts))
+        if len(t) > 24:
+            kind = 5
+        elif t.isupper() and len(t) > 1:
+            kind = 3
+        elif t[0].isupper():
+            kind = 2 if len(t) == 1 or t[1:].islower() else 5
         else:
-            kinds["symbol"] += 1
-    lang = max(hits, key=lambda k: hits[k])
-    top = hits[lang]
-    # function words of the best language only; they were counted as words or names above
-    from_word = min(top, kinds["word"])
-    kinds["function"] = top
-    kinds["word"] -= from_word
-    kinds["name"] = max(0, kinds["name"] - (top - from_word))
-    n = len(text)
-    low = up = dig = sp = mk = sy = fo = 0
-    for c, k in Counter(text).items():
-        if c.islower():
-            if c.isascii() or c in "äöüßéèêàâçùûîïôëñíóúáœæ":
-                low += k
-            else:
-                fo += k
-        elif c.isupper():
-            if c.isascii() or c in "ÄÖÜÉÈÀÇÑÍÓÚÁ":
-                up += k
-            else:
-                fo += k
-        elif c.isdigit():
-            dig += k
-        elif c.isspace():
-            sp += k
-        elif c in _MARKS:
-            mk += k
-        elif c.isalpha():
-            fo += k
+            kind = 1 if t.islower() else 5
+    elif _NUM.match(t):
+        kind = 4
+    else:
+        kind = 5 if any(c.isalnum() for c in t) else 7
+    if len(_SEEN) > 200_000:
+        _SEEN.clear()
+    _SEEN[t] = kind, bits
+    return kind, bits
+
+
+class _CharClasses(dict):
+    """Code point -> letter of its class, in the order of CHARS."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        near = c.isascii() or c in "äöüßéèêàâçùûîïôëñíóúáœæÄÖÜÉÈÀÇÑÍÓÚÁ"
+        if c.islower() or c.isupper():
+            out = ("a" if c.islower() else "b") if near else "g"
         else:
-            sy += k
-    return np.array([*kinds.values(), low, up, dig, sp, mk, sy, fo], float), lang if top else ""
+            out = "c" if c.isdigit() else "d" if c.isspace() else "e" if c in _MARKS else "g" if c.isalpha() else "f"
+        self[code] = out
+        return out
+
+
+_CLASS = _CharClasses()
+
+
+def token_vector(text: str) -> tuple[np.ndarray, str]:
+    """Counts over KINDS + CHARS and the length of all words (unnormalised), and the language of most function words."""
+    kinds, hits, length = [0] * len(KINDS), [0] * len(_LANGS), 0
+    for t, n in Counter(_TOKEN.findall(text)).items():
+        kind, bits = _SEEN.get(t) or _classify(t)
+        kinds[kind] += n
+        if kind < 6:
+            length += n * len(t)
+        i = 0
+        while bits:
+            if bits & 1:
+                hits[i] += n
+            bits >>= 1
+            i += 1
+    top = max(hits)
+    lang = _LANGS[hits.index(top)] if top else ""
+    # Function words of the best language are a kind of their own; they were counted as words or names above.
+    moved = min(top, kinds[1])
+    kinds[0], kinds[1], kinds[2] = top, kinds[1] - moved, max(0, kinds[2] - (top - moved))
+    classes = text.translate(_CLASS)
+    return np.array([*kinds, *(classes.count(c) for c in "abcdefg"), length], float), lang
 
 
 def distribution(v: np.ndarray) -> np.ndarray:
     """The two distributions side by side, lightly smoothed."""
-    a, b = v[: len(KINDS)] + 0.05, v[len(KINDS) :] + 0.5
+    a, b = v[: len(KINDS)] + 0.05, v[len(KINDS) : len(KINDS) + len(CHARS)] + 0.5
     return np.concatenate((a / a.sum(), b / b.sum()))
 
 
@@ -129,6 +132,13 @@ def visible(text: str) -> str:
     return text if text.isascii() else _HIDDEN.sub("", text)
 
 
+def _entropies(p: np.ndarray) -> np.ndarray:
+    """Entropies of rows of two distributions side by side, weighed as in ``divergence``."""
+    h = -p * np.log2(p)
+    k = len(KINDS)
+    return (2 * h[..., :k].sum(-1) + h[..., k:].sum(-1)) / 3
+
+
 def paragraphs(text: str) -> list[list[str]]:
     """Lines of each paragraph; blank lines divide."""
     out: list[list[str]] = [[]]
@@ -145,9 +155,17 @@ class Profiles:
 
     def __init__(self, names: list[str], rows: np.ndarray, prose: np.ndarray):
         self.names, self.rows, self.prose = names, np.asarray(rows, float), np.asarray(prose, bool)
-
-    def nearest(self, v: np.ndarray) -> int:
-        return int(np.argmin(divergence(distribution(v)[None, :], self.rows)))
+        self._entropy: np.ndarray | None = None
+
+    def nearest(self, vs: np.ndarray) -> np.ndarray:
+        """The nearest profile of each row of counts; the entropies of the profiles are computed once."""
+        if self._entropy is None:
+            self._entropy = _entropies(self.rows)
+        x = np.asarray(vs, float)
+        a, b = x[:, : len(KINDS)] + 0.05, x[:, len(KINDS) : len(KINDS) + len(CHARS)] + 0.5
+        p = np.concatenate((a / a.sum(1, keepdims=True), b / b.sum(1, keepdims=True)), axis=1)
+        m = (p[:, None, :] + self.rows[None, :, :]) / 2
+        return np.argmin(2 * _entropies(m) - self._entropy[None, :], axis=1)  # the own entropy is the same for all profiles
 
     def dump(self) -> str:
         return json.dumps([self.names, self.rows.round(6).tolist(), self.prose.tolist()])
@@ -156,31 +174,36 @@ class Profiles:
     def load(cls, text: str) -> "Profiles":
         return cls(*json.loads(text))
 
-    def units(self, text: str) -> list[tuple[str, int]]:
-        """(unit, profile) over a whole text, blank lines left out."""
-        out = []
-        for lines in paragraphs(visible(text)):
-            vs = [token_vector(x)[0] for x in lines]
-            if len(lines) == 1:
-                out.append((lines[0], self.nearest(vs[0])))
-                continue
-            kinds = [self.prose[self.nearest(v)] if v[: len(KINDS)].sum() >= SHORT else None for v in vs]
-            if all(k is None for k in kinds):
-                out.append(("\n".join(lines), self.nearest(sum(vs))))
-                continue
-            last = next(k for k in kinds if k is not None)
-            for i, k in enumerate(kinds):  # short lines follow the line before
-                last = kinds[i] = last if k is None else k
-            # a lone line between two of the other kind follows them
-            for i in range(1, len(kinds) - 1):
-                if kinds[i - 1] == kinds[i + 1] != kinds[i]:
-                    kinds[i] = kinds[i - 1]
+    def units(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """(characters, profile) of each unit of a whole text, blank lines left out, and the counts of all lines together."""
+        parts = paragraphs(visible(text))
+        flat = [x for lines in parts for x in lines]
+        if not flat:
+            return [], token_vector("")[0]
+        vs = np.array([token_vector(x)[0] for x in flat])
+        long = vs[:, : len(KINDS)].sum(1) >= SHORT
+        prose = self.prose[self.nearest(vs)].tolist()
+        runs, at = [], 0
+        for lines in parts:
+            n = len(lines)
+            kinds = [prose[at + i] if long[at + i] else None for i in range(n)]
+            if n > 1 and any(k is not None for k in kinds):
+                last = next(k for k in kinds if k is not None)
+                for i, k in enumerate(kinds):  # short lines follow the line before
+                    last = kinds[i] = last if k is None else k
+                for i in range(1, n - 1):  # a lone line between two of the other kind follows them
+                    if kinds[i - 1] == kinds[i + 1] != kinds[i]:
+                        kinds[i] = kinds[i - 1]
+            else:
+                kinds = [None] * n
             a = 0
-            for b in range(1, len(lines) + 1):
-                if b == len(lines) or kinds[b] != kinds[a]:
-                    out.append(("\n".join(lines[a:b]), self.nearest(sum(vs[a:b]))))
+            for b in range(1, n + 1):
+                if b == n or kinds[b] != kinds[a]:
+                    runs.append((at + a, at + b))
                     a = b
-        return out
+            at += n
+        sums = np.add.reduceat(vs, [a for a, _ in runs], axis=0)
+        return [(sum(map(len, flat[a:b])) + b - a - 1, int(i)) for (a, b), i in zip(runs, self.nearest(sums))], vs.sum(0)
 
 
 def learn(texts: list[tuple[str, bool]], most: int = 32, spread: float = 0.035) -> Profiles:
@@ -253,20 +276,20 @@ def statistics_of(text: str | None, profiles: Profiles) -> tuple:
     """The row of STATS of one text; null and blank texts have zero counts, null ratios and are not prose."""
     if text is None or not text.strip():
         return (len(text or ""), 0, 0, *[None] * 8, 0.0, "blank", None, False)
-    units = profiles.units(text)
-    total, ink = sum(len(u) for u, _ in units), max(1, sum(not c.isspace() for c in text))
+    units, v = profiles.units(text)
+    total = sum(n for n, _ in units)
     lines = [x.strip() for x in text.splitlines() if x.strip()]
-    tokens = [t for t in _TOKEN.findall(visible(text)) if any(c.isalnum() for c in t)]
-    v, lang = token_vector(visible(text))
-    common = v[0] / max(1, len(tokens))
+    words = int(v[:6].sum())
+    upper, digit, space, symbol = v[len(KINDS) + 1], v[len(KINDS) + 2], v[len(KINDS) + 3], v[len(KINDS) + 5]
+    ink = max(1.0, v[len(KINDS) : -1].sum() - space)
     sizes: dict[int, int] = {}
-    for u, i in units:
-        sizes[i] = sizes.get(i, 0) + len(u)
-    main = max(sizes, key=lambda i: (sizes[i], -i)) if sizes else profiles.nearest(v)
+    for n, i in units:
+        sizes[i] = sizes.get(i, 0) + n
+    main = max(sizes, key=lambda i: (sizes[i], -i)) if sizes else int(profiles.nearest(v[None, :])[0])
     share = sum(n for i, n in sizes.items() if profiles.prose[i]) / max(1, total)
-    return (len(text), len(tokens), len(lines), sum(map(len, tokens)) / len(tokens) if tokens else None, sum(not c.isalnum() and not c.isspace() and c not in _MARKS for c in text) / ink,
-        sum(c.isdigit() for c in text) / ink, sum(c.isupper() for c in text) / ink, sum(x[-1] in ".!?:;…" for x in lines) / max(1, len(lines)), sum(x[0] in "-*+•·>|#" for x in lines) / max(1, len(lines)),
-        float(common), 1 - len(set(lines)) / max(1, len(lines)), float(share), profiles.names[main], float(divergence(distribution(v)[None, :], profiles.rows[main][None, :])[0]), bool(share >= 0.5))
+    return (len(text), words, len(lines), float(v[-1] / words) if words else None, float(symbol / ink), float(digit / ink), float(upper / ink),
+        sum(x[-1] in ".!?:;…" for x in lines) / max(1, len(lines)), sum(x[0] in "-*+•·>|#" for x in lines) / max(1, len(lines)),
+        float(v[0] / max(1, words)), 1 - len(set(lines)) / max(1, len(lines)), float(share), profiles.names[main], float(divergence(distribution(v)[None, :], profiles.rows[main][None, :])[0]), bool(share >= 0.5))
 
 
 def statistics(docs: DataFrame, profiles: Profiles) -> DataFrame:
