@@ -18,44 +18,59 @@ def _halves(x: Column) -> tuple[Column, Column]:
     return high, x - high
 
 
-def to_fixed(x: Column, digits: int) -> Column:
-    """``x`` with ``digits`` decimals; for magnitudes below 1e12."""
-    a = F.abs(x.cast("double"))
-    scale = float(10**digits)
-    p = a * F.lit(scale)
-    ah, al = _halves(a)
-    c = _SPLIT * scale
-    bh = c - (c - scale)
-    bl = scale - bh
-    err = ((ah * F.lit(bh) - p) + ah * F.lit(bl) + al * F.lit(bh)) + al * F.lit(bl)
-    base = F.floor(p).cast("bigint")
-    part = p - F.floor(p)
-    # part is exact; the error only matters at or next to a tie
-    n = base + F.when((part > 0.5) | ((part == 0.5) & (err >= 0)), 1).otherwise(0)
-    n = F.when((part == 0) & (err < 0) & F.lit(digits > 300), n - 1).otherwise(n)
-    sign = F.when((x < 0) & (n >= 0), F.lit("-")).otherwise(F.lit(""))
-    if digits == 0:
-        return F.concat(sign, n.cast("string"))
-    k = F.lit(10**digits)
-    return F.concat(sign, (n - n % k).cast("bigint").__truediv__(k).cast("bigint").cast("string"), F.lit("."), F.lpad((n % k).cast("string"), digits, "0"))
+def to_fixed(x: Column, digits: int | Column) -> Column:
+    """``x`` with ``digits`` (0, 1 or 2; may be a column) decimals; for magnitudes below 1e12."""
+    d = digits if isinstance(digits, Column) else F.lit(digits)
+    scale = F.when(d == 0, 1.0).when(d == 1, 10.0).otherwise(100.0)  # short enough that its low half is 0
+    s = F.struct(F.abs(x.cast("double")).alias("a"), scale.alias("s"), d.alias("d"), (x < 0).alias("neg"))
+
+    def text(v: Column) -> Column:
+        high, low = _halves(v["a"])
+        p = v["a"] * v["s"]
+        err = (high * v["s"] - p) + low * v["s"]
+        whole = F.floor(p)
+        # the error only matters at a tie
+        n = whole.cast("bigint") + F.when((p - whole > 0.5) | ((p - whole == 0.5) & (err >= 0)), 1).otherwise(0)
+        return F.concat(F.when(v["neg"], "-").otherwise(""), _point(n, v["d"]))
+
+    return _once(s, text)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, as the only element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _point(n: Column, d: Column) -> Column:
+    s = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), d + 1), F.lit("0"))
+    return F.when(d == 0, n.cast("string")).otherwise(F.concat(F.substring(s, F.lit(1), F.length(s) - d), F.lit("."), F.substring(s, F.length(s) - d + 1, d)))
+
+
+def _digits(x: Column) -> Column:
+    a = F.abs(x)
+    return F.when(a >= 100, 0).when(a >= 10, 1).otherwise(2)
 
 
 def fixed(x: Column) -> Column:
     """no decimals from 100 on, one from 10 on, else two."""
-    a = F.abs(x)
-    return F.when(a >= 100, to_fixed(x, 0)).when(a >= 10, to_fixed(x, 1)).otherwise(to_fixed(x, 2))
+    return to_fixed(x, _digits(x))
+
+
+def _duration(ns: Column, by: Column) -> Column:
+    x = ns.cast("double")
+    scaled = F.when(by < 10**6, x / 1e3).when(by < 10**9, x / 1e6).otherwise(x / 1e9)
+    unit = F.when(by < 10**6, "µs").when(by < 10**9, "ms").otherwise("s")
+    return F.concat(to_fixed(scaled, F.when(by < 10**9, 1).otherwise(2)), unit)
 
 
 def format_duration(ns: Column) -> Column:
     """ns, µs, ms or s; negative values stay in ns; null stays null."""
-    x = ns.cast("double")
-    return F.when(ns < 1000, F.concat(ns.cast("string"), F.lit("ns"))).when(ns < 10**6, F.concat(to_fixed(x / 1e3, 1), F.lit("µs"))).when(ns < 10**9, F.concat(to_fixed(x / 1e6, 1), F.lit("ms"))).otherwise(F.concat(to_fixed(x / 1e9, 2), F.lit("s")))
+    return F.when(ns < 1000, F.concat(ns.cast("string"), F.lit("ns"))).otherwise(_duration(ns, ns))
 
 
 def format_duration_as(ns: Column, total: Column) -> Column:
     """as F1, in the unit that ``total`` asks for."""
-    x = ns.cast("double")
-    return F.when(total < 1000, F.concat(F.floor(x + 0.5).cast("bigint").cast("string"), F.lit("ns"))).when(total < 10**6, F.concat(to_fixed(x / 1e3, 1), F.lit("µs"))).when(total < 10**9, F.concat(to_fixed(x / 1e6, 1), F.lit("ms"))).otherwise(F.concat(to_fixed(x / 1e9, 2), F.lit("s")))
+    return F.when(total < 1000, F.concat(F.floor(ns.cast("double") + 0.5).cast("bigint").cast("string"), F.lit("ns"))).otherwise(_duration(ns, total))
 
 
 def format_relative(then_ms: Column, now_ms: Column | int) -> Column:
@@ -75,51 +90,72 @@ def short_id(c: Column, n: int = 16) -> Column:
     return F.substring(c, 1, n)
 
 
+def _scaled_bytes(x: Column) -> tuple[Column, Column]:
+    a, value, unit = F.abs(x), x / float(1024**5), F.lit(" PiB")
+    for i, u in reversed(list(enumerate(["B", "KiB", "MiB", "GiB", "TiB"]))):
+        value, unit = F.when(a < float(1024 ** (i + 1)), x / float(1024**i)).otherwise(value), F.when(a < float(1024 ** (i + 1)), F.lit(f" {u}")).otherwise(unit)
+    return value, unit
+
+
+def _scaled_seconds(x: Column) -> tuple[Column, Column]:
+    a = F.abs(x)
+    return F.when(a >= 1, x).when(a >= 1e-3, x * 1e3).otherwise(x * 1e6), F.when(a >= 1, " s").when(a >= 1e-3, " ms").otherwise(" μs")
+
+
+def _scaled_millis(x: Column) -> tuple[Column, Column]:
+    a = F.abs(x)
+    return F.when(a >= 1000, x / 1000).when(a >= 1, x).otherwise(x * 1000), F.when(a >= 1000, " s").when(a >= 1, " ms").otherwise(" μs")
+
+
+def _minutes(x: Column) -> Column:
+    a = F.abs(x)
+    m = F.floor(a / 60)
+    return F.concat(F.when(x < 0, "-").otherwise(""), m.cast("bigint").cast("string"), F.lit("m "), to_fixed(a - m * 60, 0), F.lit("s"))
+
+
 def format_bytes(x: Column) -> Column:
     """steps of 1024 up to PiB."""
-    a = F.abs(x)
-    sign = F.when(x < 0, "-").otherwise("")
-    units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
-    out = F.concat(sign, fixed(a / float(1024**5)), F.lit(" PiB"))
-    for i in range(4, -1, -1):
-        out = F.when(a < float(1024 ** (i + 1)), F.concat(sign, fixed(a / float(1024**i)), F.lit(f" {units[i]}"))).otherwise(out)
-    return out
+    value, unit = _scaled_bytes(x)
+    return F.concat(fixed(value), unit)
 
 
 def format_seconds(x: Column) -> Column:
     """F8."""
-    a = F.abs(x)
-    minutes = F.floor(a / 60)
-    long = F.concat(F.when(x < 0, "-").otherwise(""), minutes.cast("bigint").cast("string"), F.lit("m "), to_fixed(a - minutes * 60, 0), F.lit("s"))
-    return F.when(a == 0, F.lit("0 s")).when(a >= 60, long).when(a >= 1, F.concat(fixed(x), F.lit(" s"))).when(a >= 1e-3, F.concat(fixed(x * 1e3), F.lit(" ms"))).otherwise(F.concat(fixed(x * 1e6), F.lit(" μs")))
+    value, unit = _scaled_seconds(x)
+    return F.when(x == 0, F.lit("0 s")).when(F.abs(x) >= 60, _minutes(x)).otherwise(F.concat(fixed(value), unit))
 
 
 def format_millis(x: Column) -> Column:
     """F9."""
-    a = F.abs(x)
-    return F.when(a >= 1000, F.concat(fixed(x / 1000), F.lit(" s"))).when(a >= 1, F.concat(fixed(x), F.lit(" ms"))).otherwise(F.concat(fixed(x * 1000), F.lit(" μs")))
+    value, unit = _scaled_millis(x)
+    return F.concat(fixed(value), unit)
 
 
 def compact(x: Column) -> Column:
     """at most one decimal, with K, M, B or T from a thousand on; half away from zero on the decimal value."""
-    a = F.abs(x).cast("decimal(38,10)")
-    out = None
-    for i, unit in reversed(list(enumerate(["", "K", "M", "B", "T"]))):
-        n = F.round(a / F.lit(10 ** (3 * i)).cast("decimal(20,0)"), 1).cast("decimal(30,1)")
-        text = F.concat(F.regexp_replace(n.cast("string"), r"\.0$", ""), F.lit(unit))
-        fits = n < 1000
-        out = text if out is None else F.when(fits, text).otherwise(out)
-    return F.concat(F.when(x < 0, "-").otherwise(""), out)
+
+    def text(v: Column) -> Column:
+        a = v["a"]
+        # a step up where rounding to one decimal would reach a thousand
+        k = F.when(a < 999.95, 0).when(a < 999950, 1).when(a < 999950000, 2).when(a < 999950000000, 3).otherwise(4)
+        n = F.round(a / F.pow(F.lit(1000.0), k).cast("decimal(20,0)"), 1).cast("decimal(30,1)")
+        return F.concat(F.when(v["neg"], "-").otherwise(""), F.regexp_replace(n.cast("string"), r"\.0$", ""), F.element_at(F.array(*map(F.lit, ["", "K", "M", "B", "T"])), k + 1))
+
+    return _once(F.struct(F.abs(x).cast("decimal(38,10)").alias("a"), (x < 0).alias("neg")), text)
 
 
 def format_metric_value(x: Column, unit: Column) -> Column:
     """by unit; non-finite values as their names, a unit in braces without them."""
     odd = F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity")
+    size, seconds, millis = _scaled_bytes(x), _scaled_seconds(x), _scaled_millis(x)
+    of_bytes = unit.isin("By", "By/s")
+    value = F.when(of_bytes, size[0]).when(unit == "s", seconds[0]).otherwise(millis[0])
+    name = F.when(of_bytes, size[1]).when(unit == "s", seconds[1]).otherwise(millis[1])
+    scaled = F.concat(fixed(value), name, F.when(unit == "By/s", "/s").otherwise(""))
     braces = unit.startswith("{") & unit.endswith("}")
-    safe = F.when(odd.isNull(), x)
-    usual = F.when(unit == "By", format_bytes(safe)).when(unit == "By/s", F.concat(format_bytes(safe), F.lit("/s"))).when(unit == "s", format_seconds(safe)).when(unit == "ms", format_millis(safe)).when(unit == "%", F.concat(compact(safe), F.lit("%")))
-    usual = usual.when(unit.isin("", "1"), compact(safe)).when(braces, F.concat(compact(safe), F.lit(" "), F.substring(unit, F.lit(2), F.length(unit) - 2))).otherwise(F.concat(compact(safe), F.lit(" "), unit))
-    return F.coalesce(odd, usual)
+    tail = F.when(unit == "%", "%").when(unit.isin("", "1"), "").when(braces, F.concat(F.lit(" "), F.substring(unit, F.lit(2), F.length(unit) - 2))).otherwise(F.concat(F.lit(" "), unit))
+    usual = F.when((unit == "s") & (x == 0), F.lit("0 s")).when((unit == "s") & (F.abs(x) >= 60), _minutes(x)).when(unit.isin("By", "By/s", "s", "ms"), scaled).otherwise(F.concat(compact(x), tail))
+    return F.when(odd.isNotNull(), odd).otherwise(usual)
 
 
 def status_tone(c: Column) -> Column:

@@ -161,4 +161,17 @@ SELECT metric_name, declared, by_name, CASE WHEN declared <> '' THEN declared EL
     "retention_fifo": f"WITH {_S}, k AS (SELECT trace_id FROM s GROUP BY trace_id ORDER BY min(arrival_seq) DESC LIMIT 1000) SELECT trace_id, count(*) AS spans FROM s WHERE trace_id IN (SELECT trace_id FROM k) GROUP BY trace_id",
     "newest_rank": f"WITH {_S} SELECT trace_id, min(arrival_seq) AS first_seq, row_number() OVER (ORDER BY min(arrival_seq) DESC) AS rank FROM s GROUP BY trace_id",
     "signal_counts": f"WITH {_S}, {_M} SELECT (SELECT count(DISTINCT trace_id) FROM s) AS trace_count, (SELECT count(*) FROM m) AS metric_count, (SELECT count(*) FROM logs) AS log_count",
+    "fmt_duration": """SELECT DISTINCT duration_ns, CASE WHEN duration_ns < 1000 THEN CAST(duration_ns AS VARCHAR) || 'ns'
+  WHEN duration_ns < 1000000 THEN printf('%.1f', duration_ns / 1e3 + CASE WHEN duration_ns % 100 = 50 AND duration_ns % 250 = 0 THEN 0.01 ELSE 0.0 END) || 'µs'
+  WHEN duration_ns < 1000000000 THEN printf('%.1f', duration_ns / 1e6 + CASE WHEN duration_ns % 100000 = 50000 AND duration_ns % 250000 = 0 THEN 0.01 ELSE 0.0 END) || 'ms'
+  ELSE printf('%.2f', duration_ns / 1e9 + CASE WHEN duration_ns % 10000000 = 5000000 AND duration_ns % 125000000 = 0 THEN 0.001 ELSE 0.0 END) || 's' END AS text
+FROM (SELECT end_ns - start_ns AS duration_ns FROM spans) AS x""",
+    "fmt_bytes": """WITH d AS (SELECT DISTINCT duration_ns FROM spans WHERE duration_ns IS NOT NULL),
+k AS (SELECT duration_ns, least(5, CASE WHEN abs(duration_ns) < 1024 THEN 0 WHEN abs(duration_ns) < 1048576 THEN 1 WHEN abs(duration_ns) < 1073741824 THEN 2 WHEN abs(duration_ns) < 1099511627776 THEN 3 WHEN abs(duration_ns) < 1125899906842624 THEN 4 ELSE 5 END) AS k FROM d),
+v AS (SELECT duration_ns, k, abs(duration_ns) / CAST(power(1024, k) AS DOUBLE) AS v FROM k)
+SELECT duration_ns, CASE WHEN duration_ns < 0 THEN '-' ELSE '' END ||
+  CASE WHEN v >= 100 THEN printf('%.0f', v + CASE WHEN v - floor(v) = 0.5 THEN 0.1 ELSE 0.0 END)
+       WHEN v >= 10 THEN printf('%.1f', v + CASE WHEN v * 4 = floor(v * 4) AND (v * 20) % 2 = 1 THEN 0.01 ELSE 0.0 END)
+       ELSE printf('%.2f', v + CASE WHEN v * 8 = floor(v * 8) AND (v * 200) % 2 = 1 THEN 0.001 ELSE 0.0 END) END
+  || [' B', ' KiB', ' MiB', ' GiB', ' TiB', ' PiB'][k + 1] AS text FROM v""",
 }
