@@ -8,7 +8,7 @@ winner). A batch
 3. for partitions whose winner is beaten by an incoming copy, history and incoming rows are combined and single
    winners taken anew; exactly those partitions are written under a new version,
 4. is made visible by writing the next manifest: one small file, renamed into place. A reader sees the old or the new
-   set of files, never a mixture, and a job that dies leaves the old one.
+   set of files, never a mixture, and a job that dies leaves the old one; a new try overwrites what it left.
 
 The winner of an identifier is the copy of the smallest order, ties going to the one whose partition sorts first.
 """
@@ -73,7 +73,7 @@ class DedupStore:
         else:
             both = mine.select(key, "o", "p", F.lit(None).cast("bigint").alias("ho"), F.lit(None).cast("string").alias("hp"))
         # The index entries of this version: identifiers that are new or whose incoming copy beats history.
-        both.filter("ho is null or o < ho").write.parquet(f"{self.root}/index-{v}")
+        both.filter("ho is null or o < ho").write.mode("overwrite").parquet(f"{self.root}/index-{v}")
         new = self._load([f"index-{v}"])
         beaten = new.filter("ho is not null")
         # At most one name for each partition of the store: the manifest lists them all anyway.
@@ -82,7 +82,7 @@ class DedupStore:
         lost = batch.select(order).join(new.select(F.col("o").alias(order)), order, "left_anti")
         if touched:
             lost = lost.unionByName(beaten.select(F.col("ho").alias(order)))
-        lost.write.parquet(f"{self.root}/losers-{v}")
+        lost.write.mode("overwrite").parquet(f"{self.root}/losers-{v}")
         winners = batch.join(new.select(F.col("o").alias(order)), order, "left_semi")
         parts = {k: list(f) for k, f in m["partitions"].items()}
         if touched:
@@ -92,7 +92,7 @@ class DedupStore:
             for t in touched:
                 parts[t] = []
         at = f"data-{v}"
-        winners.withColumn("_part", F.col(part)).write.partitionBy("_part").parquet(f"{self.root}/{at}")
+        winners.withColumn("_part", F.col(part)).write.mode("overwrite").partitionBy("_part").parquet(f"{self.root}/{at}")
         fs, p = _filesystem(self.spark, f"{self.root}/{at}")
         from urllib.parse import unquote
 
