@@ -133,7 +133,8 @@ def delta_stream(points: DataFrame, ttl_ms: int = 600_000, generation: int = 0)
     """T5: a stream of raw points (columns as in ``canonical.raw_points``) to deltas of cumulative monotonic sums.
 
     One state row per series: generation and last value. A series idle for ``ttl_ms`` of processing time starts
-    anew. No watermark: late points are taken in order of arrival, never dropped.
+    anew. No watermark: late points are taken in order of arrival, never dropped. Idle times are checked in every
+    trigger, so run it on a processing-time trigger (or once), not until no data is left.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 

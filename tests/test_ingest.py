@@ -61,7 +61,7 @@ def test_stream_equals_batch_and_clears(spark, tmp_path):
     def run(n, *requests):
         write(landing / f"{n}.json", *requests)
         q = ingest.start(spark, str(landing), job, f"file://{tmp_path}/cp")
-        q.awaitTermination()
+        assert q.awaitTermination(60)
         assert q.exception() is None
 
     run(1, trace_request(root), sum_request(100), log_request({"stringValue": "hello"}, "01" * 16), "{broken")
@@ -76,7 +76,7 @@ def test_stream_equals_batch_and_clears(spark, tmp_path):
     assert store.traces().first()["span_count"] == 2 and rows(store.points(), "value") == [(50.0,)]
     store.clear()
     assert store.traces().count() == 0
-    run(3, sum_request(170))
+    job(spark.createDataFrame([(json.dumps(sum_request(170)),)], "value string"), 2)
     assert store.points().count() == 0  # the first observation is a baseline again
     assert ingest.progress_points(type("Q", (), {"lastProgress": {"batchId": 3, "numInputRows": 4}})())[2]["value"] == 4.0
 
@@ -90,10 +90,10 @@ def test_stateful_deltas_equal_the_batch_operator(spark, tmp_path):
 
     data = [{"service_name": "s", "metric_name": f"m{i % 2}", "metric_type": "Sum", "temporality": "Cumulative", "is_monotonic": True, "value": float(v), "received_at": datetime(2026, 1, 1)} for i, v in enumerate([10, 5, 15, 4, 18, 9, 20, 9])]
     raw = canonical.raw_points(frame(spark, POINT, data))
-    for k in range(2):
+    schema = raw.schema
+    for k in range(2):  # the second run goes on from the state of the first
         raw.filter((F.col("arrival_seq") > 4) == bool(k)).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    q = ingest.delta_stream(stream).writeStream.format("memory").queryName("deltas").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
-    q.processAllAvailable()
-    q.stop()
-    assert rows(spark.table("deltas"), "arrival_seq", "value") == rows(metrics.number_deltas(raw), "arrival_seq", "value")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        q = ingest.delta_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(once=True).start()
+        assert q.awaitTermination(60), q.status
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "arrival_seq", "value") == rows(metrics.number_deltas(raw), "arrival_seq", "value")
