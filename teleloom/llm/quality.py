@@ -246,10 +246,10 @@ def learn(texts: list[tuple[str, bool]], most: int = 32, spread: float = 0.035)
 
 
 def _default() -> Profiles:
-    """Profiles to start from where there are no labels of both kinds: prose by its share of function words, against eight kinds of other text."""
+    """Profiles to start from where there are no labels of both kinds: prose by its share of function words, against nine kinds of other text."""
     kinds = [("prose", [43, 40, 6, 0, 3, 0, 8, 0], [76, 2, 2, 18, 2, 0, 0]), ("prose-short", [25, 48, 8, 0, 6, 0, 13, 0], [74, 2, 3, 18, 3, 0, 0])]
     kinds += [("words", [1, 80, 5, 0, 0, 0, 14, 0], [84, 1, 0, 13, 2, 0, 0]), ("list", [1, 55, 2, 0, 2, 10, 0, 30], [75, 1, 1, 18, 3, 2, 0]), ("log", [5, 25, 0, 7, 24, 18, 21, 0], [40, 8, 29, 11, 9, 3, 0])]
-    kinds += [("table", [0, 15, 0, 0, 20, 10, 5, 50], [35, 0, 20, 28, 5, 12, 0]), ("code", [0, 2, 0, 0, 0, 96, 2, 0], [40, 35, 15, 2, 3, 5, 0]), ("keys", [0, 33, 0, 0, 4, 30, 33, 0], [76, 0, 7, 6, 6, 5, 0])]
+    kinds += [("table", [0, 15, 0, 0, 20, 10, 5, 50], [35, 0, 20, 28, 5, 12, 0]), ("code", [0, 2, 0, 0, 0, 96, 2, 0], [40, 35, 15, 2, 3, 5, 0]), ("keys", [0, 33, 0, 0, 4, 30, 33, 0], [76, 0, 7, 6, 6, 5, 0]), ("fields", [0, 12, 0, 0, 18, 35, 35, 0], [50, 0, 10, 16, 24, 0, 0])]
     kinds += [("menu", [5, 0, 47, 0, 0, 0, 0, 48], [54, 12, 0, 22, 0, 12, 0]), ("noise", [0, 2, 0, 0, 1, 88, 0, 9], [15, 0, 5, 5, 0, 60, 15])]
     return Profiles([k for k, _, _ in kinds], np.array([distribution(np.array([*a, *b], float)) for _, a, b in kinds]), [k.startswith("prose") for k, _, _ in kinds])
 
