@@ -43,7 +43,7 @@ def endless(spans: DataFrame) -> DataFrame:
     while left:
         target = now.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
         name = f"round{k}"
-        step = ws.put(name, lookup_join(now, target, "parent").select("node", F.col("next").alias("parent")))
+        step = ws.put(name, lookup_join(now, target, "parent", total=left).select("node", F.col("next").alias("parent")))
         n = step.count()
         ws.drop(old)
         now, old, k = step, name, k + 1
@@ -77,7 +77,7 @@ def tree(nodes: DataFrame) -> DataFrame:
         # A pointer that leads to an ended node ends too, one that leads to an active node takes over its pointer.
         target = ended.select(F.col("node").alias("parent"), F.lit(None).cast("binary").alias("next"), F.col("depth").alias("d"), F.col("path").alias("up"), "root").unionByName(
             active.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("depth").alias("d"), F.col("path").alias("up"), F.lit(None).cast("string").alias("root")))
-        step = ws.put(f"round{k}", lookup_join(active, target, "parent").select("node", F.col("next").alias("parent"), (F.col("depth") + F.col("d")).alias("depth"), F.concat_ws("/", "up", "path").alias("path"), "root"))
+        step = ws.put(f"round{k}", lookup_join(active, target, "parent", total=n).select("node", F.col("next").alias("parent"), (F.col("depth") + F.col("d")).alias("depth"), F.concat_ws("/", "up", "path").alias("path"), "root"))
         done.append(step.filter("parent is null").select("node", "parent", "depth", "path", "root"))
         active, k = step.filter("parent is not null").select("node", "parent", "depth", "path"), k + 1
     out = done[0]

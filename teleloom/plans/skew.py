@@ -9,24 +9,28 @@ from pyspark.sql import functions as F
 HOT_SHARE = 64
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
+def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, total: int | None = None) -> list:
     """Values of ``key`` that hold more than 1/share of the rows; fewer than ``share`` values, whatever the data.
 
+    ``total`` is the number of rows where the caller knows it.
+
     The count is a partial aggregation before its shuffle; the threshold is applied on the executors.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n")).limit(share).collect()  # at most `share` rows, each a key
-    total = df.count()
+    total = df.count() if total is None else total
     return [r[key] for r in top if r["n"] * share > max(total, share * 1000)]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has at most one row per ``key``.
 
     Rows of hot keys meet their at most ``HOT_SHARE`` partner rows in a broadcast; all others go through a shuffle.
-    ``left`` should be a stored table, as it is read twice.
+    ``left`` should be a stored table, as it is read twice; ``total`` is its number of rows if known.
     """
-    hot = hot_keys(left, key) if hot is None else hot
+    if total is not None and total <= HOT_SHARE * 1000:
+        return left.join(right, key, how)  # no key can be hot
+    hot = hot_keys(left, key, total=total)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
