@@ -8,7 +8,7 @@ from teleloom.llm import quality
 PROSE = ["The store was not able to keep up with the load, and nobody had noticed it until the morning.", "If you look at the numbers again, then it is clear that they were too high for most of the day.",
          "Die Grenze war zu niedrig, und niemand hat es in der Nacht bemerkt, weil das Archiv noch nicht voll war.", "La limite était trop basse, et personne ne l'a remarqué avant le redémarrage du service dans la nuit.", "El límite era muy bajo, y nadie lo había visto hasta que el servicio se detuvo en la noche."]
 OTHER = ["* view places\n* shipper limits\n* cache blobs\n* job mails\n* zone mails\n* index orders", "2026-03-20T17:35:30.427Z WARN [audit] shard 883 renewed\n2026-03-14T08:56:44.845Z ERROR [index] reload took 486 ms", "| a | b | c |\n|---|---|---|\n| 760 ms | true | 96.57 |\n| 43.38 | - | 834 ms |",
-         "Mrk5UmWjVUS/K5uMfQTrw+6uJsxI+yiuHoX3R5txG1E6f2DiNmr+daL2UKlLLziMpWQ6FS9r3/sY\n8mlr8AvRr+8T8ScHKMTE1sprcvCc1kgLerk8r6U7s3ryQAOcdQ9RmTP6U569uVZh4QThu2s5J", "Home | Help | Docs | Sign in | Metrics | Next | Previous | About", "orders links tags counter agent zone labels encoder tokens queue results frontend. Stock hour feed.", "a.b.c: 12\n  d.e: true\n  f.g: -\nh.i: 88 ms"]
+         "Mrk5UmWjVUS/K5uMfQTrw+6uJsxI+yiuHoX3R5txG1E6f2DiNmr+daL2UKlLLziMpWQ6FS9r3/sY\n8mlr8AvRr+8T8ScHKMTE1sprcvCc1kgLerk8r6U7s3ryQAOcdQ9RmTP6U569uVZh4QThu2s5J", "Home | Help | Docs | Sign in | Metrics | Next | Previous | About", "orders links tags counter agent zone labels encoder tokens queue results frontend. Stock hour feed.", "tuquiono: 36.45\nbabasha: -\n  shatuba: 47.42\n    venko: geo-lookup\nmizelgru: true\nkoden: 88 ms"]
 
 
 @pytest.fixture(scope="module", params=["learned", "fixed"])
