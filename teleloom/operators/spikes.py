@@ -27,10 +27,12 @@ RISK, LEAST_SCORE, STUCK, LONGEST, HALF, CONTEXT = 1e-6, 12.0, 8, 3, 9, 32
 def tail_cut(z: np.ndarray, risk: float = RISK, least: float = LEAST_SCORE) -> float:
     """The score that normal behaviour exceeds with probability ``risk``, by a generalised Pareto tail.
 
-    The top two in a hundred scores (three at least) are left out of the fit: they may be the very spikes sought.
+    The top two in a hundred scores (three at least) are left out of the fit: they may be the very spikes sought. So
+    are all scores above ``least``, unless they are too many (one in twelve) to be anything but the source's habit.
     """
     z = np.sort(z[np.isfinite(z)])
-    z = z[: len(z) - max(3, len(z) // 50)]
+    beyond = int((z > least).sum())
+    z = z[: len(z) - max(3, len(z) // 50, beyond if beyond * 12 <= len(z) else 0)]
     if len(z) < 20:
         return least
     u = np.quantile(z, 0.9)
