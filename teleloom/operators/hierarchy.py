@@ -30,19 +30,17 @@ def first_arrivals(spans: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.min(F.struct("seq", "parent")).alias("x")).select("node", F.col("x.parent").alias("parent"))
 
 
-def endless(spans: DataFrame) -> DataFrame:
-    """(trace_id, span_id) of each span that lies on a loop of parent links or below one.
+def unending(edges: DataFrame, ws: Workspace) -> DataFrame:
+    """The nodes of ``edges`` (node, parent: both set, one row per node) whose chain of parents never ends.
 
-    Empty input gives no rows; unset or unknown parents end a chain; other columns are ignored.
+    A chain goes on at a node only if that node has a row, so a pointer to anything else ends it. Rounds store keys
+    and pointers only, and each drops the one before.
     """
-    spark = spans.sparkSession
-    ws = Workspace(spark, "hierarchy")
-    edges = ws.put("edges", first_arrivals(spans).filter("parent is not null"))
-    # A chain goes on at a node only if that node has a set parent, so a pointer to anything else ends it.
-    left, k, now, old = edges.count(), 0, edges, "edges"
+    now, old = ws.put("edges", edges), "edges"
+    left, k = now.count(), 0
     while left:
         target = now.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-        name = f"round{k}"
+        name = f"jump{k}"
         step = ws.put(name, lookup_join(now, target, "parent", total=left).select("node", F.col("next").alias("parent")))
         n = step.count()
         ws.drop(old)
@@ -50,7 +48,16 @@ def endless(spans: DataFrame) -> DataFrame:
         if n == left:
             break
         left = n
-    return now.select(packed_trace("node").alias("trace_id"), packed_span("node").alias("span_id"))
+    return now.select("node")
+
+
+def endless(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id) of each span that lies on a loop of parent links or below one.
+
+    Empty input gives no rows; unset or unknown parents end a chain; other columns are ignored.
+    """
+    found = unending(first_arrivals(spans).filter("parent is not null"), Workspace(spans.sparkSession, "hierarchy"))
+    return found.select(packed_trace("node").alias("trace_id"), packed_span("node").alias("span_id"))
 
 
 def tree(nodes: DataFrame) -> DataFrame:
@@ -62,30 +69,31 @@ def tree(nodes: DataFrame) -> DataFrame:
     """
     ws = Workspace(nodes.sparkSession, "tree")
     nodes = ws.put("nodes", nodes)
+    # Paths are joined only where they end: on a loop they would double in every round.
+    loops = ws.put("loops", unending(nodes.filter("parent is not null").select("node", "parent"), ws))
+    known_loops, nodes = loops, nodes.join(loops, "node", "left_anti")
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    start = ws.put("start", lookup_join(nodes, known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.lit(0).alias("depth"), F.col("seg").alias("path")))
-    done = [start.filter("parent is null").withColumn("root", packed_span("node"))]
-    active, k, left = start.filter("parent is not null").withColumn("depth", F.lit(1)), 0, -1
-    while True:
-        n = active.count()
-        if n in (0, left):
-            break
-        left = n
-        ended = done[0]
-        for d in done[1:]:
-            ended = ended.unionByName(d)
+    start = ws.put("start", lookup_join(ws.put("ending", nodes), known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.col("seg").alias("path")))
+    # The pool holds the nodes that pointers lead to. A node that is 2^(k+1) links above another is 2^k links above one
+    # too, so the pool only shrinks, like the active set; leaves are never in it.
+    state = ["node", "parent", "depth", "path", "root"]
+    begun = ws.put("begun", start.withColumn("root", F.when(F.col("parent").isNull(), packed_span("node"))).withColumn("depth", F.when(F.col("parent").isNull(), 0).otherwise(1)))
+    done, active, pool, k = [begun.filter("parent is null")], begun.filter("parent is not null"), begun, 0
+    while n := active.count():
+        led_to = active.select(F.col("parent").alias("node")).distinct()
+        pool = ws.put(f"pool{k}", pool.join(led_to, "node", "left_semi").select(*state))
         # A pointer that leads to an ended node ends too, one that leads to an active node takes over its pointer.
-        target = ended.select(F.col("node").alias("parent"), F.lit(None).cast("binary").alias("next"), F.col("depth").alias("d"), F.col("path").alias("up"), "root").unionByName(
-            active.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("depth").alias("d"), F.col("path").alias("up"), F.lit(None).cast("string").alias("root")))
-        step = ws.put(f"round{k}", lookup_join(active, target, "parent", total=n).select("node", F.col("next").alias("parent"), (F.col("depth") + F.col("d")).alias("depth"), F.concat_ws("/", "up", "path").alias("path"), "root"))
-        done.append(step.filter("parent is null").select("node", "parent", "depth", "path", "root"))
-        active, k = step.filter("parent is not null").select("node", "parent", "depth", "path"), k + 1
+        target = pool.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("depth").alias("d"), F.col("path").alias("up"), F.col("root").alias("top"))
+        step = lookup_join(active.select("node", "parent", "depth", "path"), target, "parent", total=n)
+        step = ws.put(f"round{k}", step.select("node", F.col("next").alias("parent"), (F.col("depth") + F.col("d")).alias("depth"), F.concat_ws("/", "up", "path").alias("path"), F.col("top").alias("root")))
+        done.append(step.filter("parent is null"))
+        active, pool, k = step.filter("parent is not null"), pool.filter("parent is null").unionByName(step), k + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     none = F.lit(None)
     out = out.select("node", "root", "depth", "path", F.lit(False).alias("endless")).unionByName(
-        active.select("node", none.cast("string").alias("root"), none.cast("int").alias("depth"), none.cast("string").alias("path"), F.lit(True).alias("endless")))
+        known_loops.select("node", none.cast("string").alias("root"), none.cast("int").alias("depth"), none.cast("string").alias("path"), F.lit(True).alias("endless")))
     return out.select("node", packed_trace("node").alias("trace_id"), packed_span("node").alias("span_id"), "root", F.col("depth").cast("bigint").alias("depth"), "path", "endless")
 
 
