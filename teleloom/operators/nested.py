@@ -52,8 +52,9 @@ def as_list(x) -> list:
 
 
 def otlp_value(v):
+    """What a typed value holds; a bare scalar is itself, an array without its wrapper or an unknown wrapper nothing."""
     if not isinstance(v, dict):
-        return None
+        return v if isinstance(v, (str, int, float)) else None
     for k in SCALARS:
         if k in v:
             x = v[k]

@@ -60,7 +60,9 @@ def level_spikes(x: np.ndarray) -> np.ndarray:
     near = np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="reflect"), 2 * half + 1)
     r = x - np.median(near, axis=1)
     s = max(1.4826 * np.median(np.abs(r)), np.subtract(*np.quantile(r, [0.75, 0.25])) / 1.349)
-    if s <= 0:  # readings that hardly ever change
+    if s <= 0 and (r != 0).mean() > 0.1:  # mostly at rest, but busy now and then
+        s = 1.4826 * np.median(np.abs(r[r != 0]))
+    elif s <= 0:  # readings that hardly ever change
         s = 0.05 * abs(np.median(x)) or 0.05 * np.abs(x).mean() or 1.0
     z = np.abs(r) / s
     cut = tail_cut(z) * s
