@@ -121,6 +121,25 @@ def test_ssa_recovers_a_period():
     assert np.isnan(grid.ssa_fill(np.full(5, np.nan))).all() and grid.ssa_fill(np.array([1.0, np.nan, 3.0])).tolist() == [1.0, 2.0, 3.0]
 
 
+def test_ssa_goes_on_to_rest():
+    rng, t = np.random.default_rng(7), np.arange(300)
+    x = 50 + 5 * np.sin(t / 11) + 2 * np.sin(t / 4) + rng.normal(0, 1, 300)
+    x[rng.random(300) < 0.3] = np.nan
+    x[80:125], x[200:240] = np.nan, np.nan
+    gap, (y, how) = np.isnan(x), grid.ssa_impute(x)
+    exact, _ = grid.ssa_impute(x, tol=1e-7)
+    assert how == "spectrum" and np.abs(y - exact)[gap].max() < 0.02 * np.nanstd(x)
+    assert grid.ssa_impute(x, settle=1, rounds=1)[1] == "unsettled" and grid.ssa_impute(np.array([1.0, np.nan, 3.0]))[1] == "lines"
+
+
+def test_grid_tells_how_a_slot_was_filled(spark):
+    m = grid.SLOT_NS
+    data = [{"service_name": s, "ts_ns": t * m, "value": float(np.sin(t / 5))} for s, ts in (("a", (1, 2, 4)), ("b", [t for t in range(1, 200) if t % 7])) for t in ts]
+    got = grid.regular_grid(frame(spark, POINT, data), ["service_name"]).toPandas()
+    assert set(got[got.state == "imputed"].groupby("service_name").fill.first().items()) == {("a", "lines"), ("b", "spectrum")}
+    assert got[got.state == "observed"].fill.isna().all()
+
+
 # late events
 
 
