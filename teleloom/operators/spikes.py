@@ -6,11 +6,15 @@ fitted to what exceeds their 90th percentile, and the cut-off lies where that ta
 readings in a row beyond it whose neighbours on both sides agree are a spike.
 
 Copies of a reading are folded before anything is grouped. A source is worked on in blocks of some thousand
-readings with context on both sides, so one source may hold any share of the rows.
+readings with context on both sides, so one source may hold any share of the rows. What is usual is a matter of the
+whole source: a source of several blocks is first summed up by counts of its residuals, steps and equal neighbours
+(in buckets half a percent wide, which add up over blocks); its blocks then only apply the limits drawn from them.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,26 +26,52 @@ from teleloom.plans.storage import Workspace
 FIGURES = ["value", "count", "sum", "min", "max"]
 SOURCE = ["service_name", "metric_name", "instance_id"]
 RISK, LEAST_SCORE, STUCK, LONGEST, HALF, CONTEXT = 1e-6, 12.0, 8, 3, 9, 32
+WIDTH, SHIFT = np.log(1.005), 200_000
+
+
+def quantile(v: np.ndarray, n: np.ndarray, q: float) -> float:
+    """As ``np.quantile`` of ascending values ``v`` that occur ``n`` times each."""
+    upto = np.cumsum(n)
+    at = (upto[-1] - 1) * q
+    low, high = v[np.searchsorted(upto, [np.floor(at), np.ceil(at)], "right")]
+    return float(low + (high - low) * (at - np.floor(at)))
+
+
+def ascending(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(v, kind="stable")
+    return v[order], n[order]
+
 
+def buckets(v: np.ndarray) -> np.ndarray:
+    """Number of the bucket of each value; zero has its own."""
+    size = np.where(v == 0, 1.0, np.abs(v))
+    return np.where(v == 0, 0, np.sign(v) * (np.round(np.log(size) / WIDTH) + SHIFT)).astype(np.int64)
 
-def tail_cut(z: np.ndarray, risk: float = RISK, least: float = LEAST_SCORE) -> float:
-    """The score that normal behaviour exceeds with probability ``risk``, by a generalised Pareto tail.
+
+def centres(k: np.ndarray) -> np.ndarray:
+    return np.where(k == 0, 0.0, np.sign(k) * np.exp((np.abs(k) - SHIFT) * WIDTH))
+
+
+def tail_cut(z: np.ndarray, n: np.ndarray, risk: float = RISK, least: float = LEAST_SCORE) -> float:
+    """The score that normal behaviour exceeds with probability ``risk``, by a generalised Pareto tail; ``z`` occur ``n`` times each.
 
     The top two in a hundred scores (three at least) are left out of the fit: they may be the very spikes sought. So
     are all scores above ``least``, unless they are too many (one in twelve) to be anything but the source's habit.
     """
-    z = np.sort(z[np.isfinite(z)])
-    beyond = int((z > least).sum())
-    z = z[: len(z) - max(3, len(z) // 50, beyond if beyond * 12 <= len(z) else 0)]
-    if len(z) < 20:
+    z, n = ascending(z, n)
+    total, beyond = int(n.sum()), int(n[z > least].sum())
+    total -= max(3, total // 50, beyond if beyond * 12 <= total else 0)
+    if total < 20:
         return least
-    u = np.quantile(z, 0.9)
-    e = z[z > u] - u
-    if len(e) < 3 or e.mean() <= 0:
+    n = np.clip(total - (np.cumsum(n) - n), 0, n)
+    z, n = z[n > 0], n[n > 0]
+    u = quantile(z, n, 0.9)
+    e, n = z[z > u] - u, n[z > u]
+    if n.sum() < 3 or (m := np.average(e, weights=n)) <= 0:
         return max(least, u)
-    m, v = e.mean(), max(e.var(), 1e-300)
+    v = max(np.average((e - m) ** 2, weights=n), 1e-300)
     xi = float(np.clip(0.5 * (1 - m * m / v), 0.0, 0.25))
-    sigma, far = m * (1 - xi), (len(e) / len(z)) / risk
+    sigma, far = m * (1 - xi), (n.sum() / total) / risk
     return max(least, u + (sigma * np.log(far) if xi < 1e-6 else sigma / xi * (far**xi - 1)))
 
 
@@ -50,22 +80,28 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2], edge[1::2]))
 
 
-def level_spikes(x: np.ndarray) -> np.ndarray:
-    """Mask of spikes in a series of levels (finite values in order of time)."""
-    n = len(x)
-    out = np.zeros(n, bool)
-    if n < 8:
-        return out
-    half = min(HALF, (n - 1) // 2)
-    near = np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="reflect"), 2 * half + 1)
-    r = x - np.median(near, axis=1)
-    s = max(1.4826 * np.median(np.abs(r)), np.subtract(*np.quantile(r, [0.75, 0.25])) / 1.349)
-    if s <= 0 and (r != 0).mean() > 0.1:  # mostly at rest, but busy now and then
-        s = 1.4826 * np.median(np.abs(r[r != 0]))
+def residuals(x: np.ndarray) -> np.ndarray:
+    """A series of levels less its running median."""
+    half = min(HALF, (len(x) - 1) // 2)
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="reflect"), 2 * half + 1) if half else x[:, None]
+    return x - np.median(near, axis=1)
+
+
+def level_limit(r: np.ndarray, rn: np.ndarray, x: np.ndarray, xn: np.ndarray) -> float:
+    """How far from its level a reading of a source may be, from its residuals ``r`` and readings ``x`` with their numbers."""
+    (r, rn), (size, sn) = ascending(r, rn), ascending(np.abs(r), rn)
+    s = max(1.4826 * quantile(size, sn, 0.5), (quantile(r, rn, 0.75) - quantile(r, rn, 0.25)) / 1.349)
+    off = r != 0
+    if s <= 0 and rn[off].sum() > 0.1 * rn.sum():  # mostly at rest, but busy now and then
+        s = 1.4826 * quantile(size[size > 0], sn[size > 0], 0.5)
     elif s <= 0:  # readings that hardly ever change
-        s = 0.05 * abs(np.median(x)) or 0.05 * np.abs(x).mean() or 1.0
-    z = np.abs(r) / s
-    cut = tail_cut(z) * s
+        s = 0.05 * abs(quantile(*ascending(x, xn), 0.5)) or 0.05 * np.average(np.abs(x), weights=xn) or 1.0
+    return tail_cut(size / s, sn) * s
+
+
+def level_spikes(x: np.ndarray, cut: float) -> np.ndarray:
+    """Mask of spikes in a series of levels (finite values in order of time)."""
+    out, r = np.zeros(len(x), bool), residuals(x)
     far = np.abs(r) > cut
     for a, b in _runs(far):
         if b - a > LONGEST:
@@ -80,19 +116,22 @@ def level_spikes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def ramp_spikes(x: np.ndarray) -> np.ndarray:
+def ramp_limit(up: np.ndarray, un: np.ndarray, x: np.ndarray) -> float:
+    """How far off its ramp a reading of a source may be, from its steps ``up`` (none below zero) with their numbers."""
+    usual = spread = 0.0
+    if len(up):
+        usual = quantile(*ascending(up, un), 0.5)
+        spread = quantile(*ascending(np.abs(up - usual), un), 0.5)
+    return LEAST_SCORE * max(usual, 1.4826 * spread, 1e-9 * np.abs(x).max())
+
+
+def ramp_spikes(x: np.ndarray, cut: float) -> np.ndarray:
     """Mask of spikes in a cumulative series: readings off the ramp after which the same ramp goes on.
 
     A restart doesn't come back to its ramp, an idle stretch doesn't leave it.
     """
     n = len(x)
     out = np.zeros(n, bool)
-    if n < 8:
-        return out
-    step = np.diff(x)
-    up = step[step >= 0]
-    usual = np.median(up) if len(up) else 0.0
-    cut = LEAST_SCORE * max(usual, 1.4826 * np.median(np.abs(up - usual)) if len(up) else 0.0, 1e-9 * np.abs(x).max())
     i = 1
     while i < n - 1:
         for k in range(1, LONGEST + 1):
@@ -108,30 +147,22 @@ def ramp_spikes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def stuck(rows: np.ndarray, least: int = STUCK) -> np.ndarray:
-    """Mask of stretches of ``least`` or more equal rows in a source that otherwise keeps changing.
-
-    Stretches at zero are idle, not stuck.
-    """
-    n = len(rows)
-    out = np.zeros(n, bool)
-    if n < least:
-        return out
+def equal_rows(rows: np.ndarray, least: int = STUCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of neighbouring rows: whether they are equal, whether they lie in ``least`` or more equal rows; mask of rows in
+    such stretches, but for those at zero (idle, not stuck)."""
     full = np.where(np.isnan(rows), -1.0, rows)
     same = (full[1:] == full[:-1]).all(axis=1)
-    inside = np.zeros(n - 1, bool)
-    found = []
+    inside, out = np.zeros(len(same), bool), np.zeros(len(full), bool)
     for a, b in _runs(same):
         if b - a + 1 >= least:
             inside[a:b] = True
-            found.append((a, b + 1))
-    rest = same[~inside]
-    if not found or inside.mean() > 0.6 or rest.mean() > 0.5:  # it changes seldom anyway
-        return out
-    for a, b in found:
-        if (full[a] > 0).any():
-            out[a:b] = True
-    return out
+            out[a : b + 1] = (full[a] > 0).any()
+    return same, inside, out
+
+
+def changing(pairs: int, inside: int, equal: int) -> bool:
+    """Whether a source otherwise keeps changing: ``inside`` of its pairs of neighbours in equal stretches, ``equal`` elsewhere."""
+    return inside <= 0.6 * pairs and equal <= 0.5 * (pairs - inside)
 
 
 def impossible() -> Column:
@@ -152,26 +183,88 @@ def impossible() -> Column:
     return below | F.coalesce(share, F.lit(False)) | F.coalesce(hist, F.lit(False))
 
 
-def judge(df: pd.DataFrame) -> pd.DataFrame:
-    """Readings of one block of a source: those that are spikes or stuck, with the reason."""
+def series(df: pd.DataFrame) -> tuple[pd.DataFrame, list, np.ndarray | None, np.ndarray]:
+    """Readings in order of time; (figure, places, values, whether on a ramp) of each figure; rows and places for the stuck test."""
     df = df.sort_values(["ts_ns", *FIGURES], kind="stable")
     kind, cumulative = df["metric_type"].iloc[0], df["temporality"].iloc[0] == "Cumulative"
     fig = df[FIGURES].to_numpy(float)
     fig[~np.isfinite(fig)] = np.nan
     cols = [0] if kind in ("Gauge", "Sum") else [1, 2, 3, 4]
-    spike, held = np.zeros(len(df), bool), np.zeros(len(df), bool)
+    lines = []
     for c in cols:
         at = np.flatnonzero(~np.isnan(fig[:, c]) & (fig[:, c] >= 0))
-        x = fig[at, c]
-        hit = ramp_spikes(x) if cumulative and c in (0, 1, 2) else level_spikes(x)
-        spike[at[hit]] = True
-    if kind in ("Gauge", "Histogram"):
-        at = np.flatnonzero(~np.isnan(fig[:, cols[0]]))
-        held[at[stuck(fig[np.ix_(at, cols)])]] = True
+        lines.append((c, at, fig[at, c], cumulative and c in (0, 1, 2)))
+    at = np.flatnonzero(~np.isnan(fig[:, cols[0]]))
+    return df, lines, fig[np.ix_(at, cols)] if kind in ("Gauge", "Histogram") else None, at
+
+
+def measure(parts: tuple) -> dict[tuple[int, str], np.ndarray]:
+    """What the own readings of a block add to the summary of their source: residuals ``r`` and readings ``x`` of levels,
+    steps ``up`` and readings of ramps by figure; at figure -1 a one for each of the ``pairs``, those ``inside`` and ``equal``."""
+    df, lines, rows, at = parts
+    own, out = df["own"].to_numpy(bool), {}
+    for c, places, x, ramp in lines:
+        mine = own[places]
+        if not mine.any():
+            continue
+        out[c, "x"] = x[mine]
+        if ramp:
+            step = np.diff(x)
+            out[c, "up"] = step[(step >= 0) & mine[1:]]
+        else:
+            out[c, "r"] = residuals(x)[mine]
+    if rows is not None and len(rows):
+        same, inside, _ = equal_rows(rows)
+        mine = own[at][1:]
+        for name, mask in (("pairs", mine), ("inside", mine & inside), ("equal", mine & same & ~inside)):
+            out[-1, name] = np.ones(int(mask.sum()))
+    return out
+
+
+def limits(found: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]) -> dict[str, float]:
+    """From the summary of a whole source, values and their numbers: the limit of each figure, and at -1 whether it keeps changing."""
+    none, out = (np.zeros(0), np.zeros(0, np.int64)), {}
+    for (c, name), (x, n) in found.items():
+        if name == "x" and n.sum() >= 8:
+            out[str(c)] = level_limit(*found[c, "r"], x, n) if (c, "r") in found else ramp_limit(*found.get((c, "up"), none), x)
+    out["-1"] = float(changing(*(int(found.get((-1, name), none)[1].sum()) for name in ("pairs", "inside", "equal"))))
+    return out
+
+
+def judge(df: pd.DataFrame) -> pd.DataFrame:
+    """Readings of one block of a source: those that are spikes or stuck, with the reason. ``limits`` are those of the
+    whole source, null if the block holds all of it."""
+    if not df["own"].any():
+        return pd.DataFrame({"reading": [], "reason": []}, dtype=object)
+    df, lines, rows, at = parts = series(df)
+    known = df["limits"].iloc[0]
+    limit = json.loads(known) if known else limits({k: (v, np.ones(len(v), np.int64)) for k, v in measure(parts).items()})
+    spike, held = np.zeros(len(df), bool), np.zeros(len(df), bool)
+    for c, places, x, ramp in lines:
+        if str(c) in limit and len(x):
+            spike[places[(ramp_spikes if ramp else level_spikes)(x, limit[str(c)])]] = True
+    if rows is not None and len(rows) and limit["-1"]:
+        held[at[equal_rows(rows)[2]]] = True
     hit = (spike | held) & df["own"].to_numpy(bool)
     return pd.DataFrame({"reading": df["reading"][hit], "reason": np.where(spike[hit], "spike", "stuck")})
 
 
+def sum_up(df: pd.DataFrame) -> pd.DataFrame:
+    """The summary of one block: source, figure, name, bucket, n."""
+    out = {"figure": [], "name": [], "bucket": [], "n": []}
+    for (c, name), v in (measure(series(df)) if df["own"].any() else {}).items():
+        k, n = np.unique(buckets(v), return_counts=True)
+        for column, values in zip(out.values(), ([c] * len(k), [name] * len(k), k.tolist(), n.tolist())):
+            column.extend(values)
+    return pd.DataFrame({"source": [df["source"].iloc[0]] * len(out["n"]), **out}, columns=["source", *out], dtype=object)
+
+
+def draw(df: pd.DataFrame) -> pd.DataFrame:
+    """The limits of one source from its added-up buckets."""
+    found = {k: (centres(g["bucket"].to_numpy(np.int64)), g["n"].to_numpy(np.int64)) for k, g in df.groupby(["figure", "name"])}
+    return pd.DataFrame({"source": [df["source"].iloc[0]], "limits": [json.dumps(limits(found))]}, dtype=object)
+
+
 def flag(points: DataFrame, block: int = 4096) -> DataFrame:
     """(arrival_seq, reason) of each implausible row; reason is ``impossible``, ``spike`` or ``stuck`` (the first that holds).
 
@@ -194,11 +287,21 @@ def flag(points: DataFrame, block: int = 4096) -> DataFrame:
     from pyspark.sql import Window
 
     upto = F.sum("n").over(Window.partitionBy(*SOURCE).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    bins = bins.withColumn("b", upto).withColumn("a", F.col("b") - F.col("n"))
+    every = F.sum("n").over(Window.partitionBy(*SOURCE))
+    bins = bins.withColumn("b", upto).withColumn("all", every).withColumn("a", F.col("b") - F.col("n"))
     of = lambda c: F.greatest(F.floor(c / F.lit(block)), F.lit(0)).cast("bigint")
-    bins = bins.select(*SOURCE, "bin", of(F.col("a")).alias("home"), F.explode(F.sequence(of(F.col("a") - CONTEXT), of(F.col("b") + CONTEXT))).alias("block"))
-    placed = readings.join(bins, [*SOURCE, "bin"]).withColumn("own", F.col("home") == F.col("block"))
-    hits = placed.groupBy(*SOURCE, "block").applyInPandas(lambda df: judge(df), "reading binary, reason string")
+    source = F.unhex(F.md5(F.concat_ws("\x1f", *SOURCE)))
+    bins = bins.select(*SOURCE, "bin", source.alias("source"), of(F.col("a")).alias("home"), F.explode(F.sequence(of(F.col("a") - CONTEXT), of(F.col("b") + CONTEXT))).alias("block"), (F.col("all") > block).alias("long"))
+    bins = ws.put("bins", bins.withColumn("own", F.col("home") == F.col("block")).drop("home"))
+    whole = bins.filter("not long").withColumn("limits", F.lit(None).cast("string"))
+    long = bins.filter("long")
+    if not long.isEmpty():
+        found = readings.join(long, [*SOURCE, "bin"]).groupBy("source", "block").applyInPandas(sum_up, "source binary, figure int, name string, bucket bigint, n bigint")
+        found = found.groupBy("source", "figure", "name", "bucket").agg(F.sum("n").alias("n"))
+        drawn = ws.put("limits", found.groupBy("source").applyInPandas(draw, "source binary, limits string"))
+        whole = whole.unionByName(lookup_join(long, drawn, "source").select(whole.columns))
+    placed = readings.join(whole, [*SOURCE, "bin"])
+    hits = placed.groupBy(*SOURCE, "block").applyInPandas(judge, "reading binary, reason string")
     hits = ws.put("hits", hits.dropDuplicates(["reading"]))
     wrong = rows.filter("impossible").select("arrival_seq", F.lit("impossible").alias("reason"))
     rest = ws.put("rest", rows.filter("known and not impossible").select("arrival_seq", "reading"))

@@ -285,6 +285,21 @@ def test_small_blocks_find_the_same(spark):
     assert flagged(spark, source(x), block=128) == want and len(want) == 14
 
 
+def test_blocks_judge_by_the_whole_source(spark):
+    rng = np.random.default_rng(8)
+    x = 100 + rng.normal(0, 1, 1200) * np.where(np.arange(1200) < 600, 0.05, 1)  # a quiet half and a busy one
+    x[300] += 3
+    x[900] += 80
+    x[400:560], x[-20:] = x[400], x[-20]  # a block and more; nearly all of the last block
+    y = np.cumsum(np.where(np.arange(1200) < 900, 40.0, 1.0) * rng.uniform(1, 2, 1200))
+    y[1100] += 300  # not much beside the usual steps
+    short = source(100 + rng.normal(0, 1, 120), inst="k") + source(100 + rng.normal(0, 1, 250), inst="l")  # their last blocks hold only context
+    data = [r | {"arrival_seq": i + 1} for i, r in enumerate(source(x) + [r | {"temporality": "Cumulative"} for r in source(y, "Sum", inst="j")] + short)]
+    want = flagged(spark, data)
+    assert {k for k, v in want.items() if v == "stuck"} == {*range(401, 561), *range(1181, 1201)} and {k for k, v in want.items() if v == "spike"} == {901}
+    assert flagged(spark, data, block=128) == want
+
+
 def test_normal_behaviour_is_not_flagged(spark):
     rng = np.random.default_rng(3)
     steps = [3.0] * 100 + [5.0] * 80 + [4.0] * 90
