@@ -124,8 +124,8 @@ def pack(counts: DataFrame, capacities: DataFrame, shard: int = SHARD, good: flo
     ws = Workspace(spark, "packing")
     counts = ws.put("counts", counts.filter("n_tokens > 0"))
     total = counts.count()
-    sizes = F.broadcast(capacities.filter("capacity_tokens > 0").select("pack_id", F.col("capacity_tokens").cast("bigint").alias("capacity")).limit(1000))
-    # Every text meets every capacity setting; the settings are the broadcast side and limited.
+    sizes = small(capacities.filter("capacity_tokens > 0").select("pack_id", F.col("capacity_tokens").cast("bigint").alias("capacity")))
+    # Every text meets every capacity setting.
     each = counts.join(sizes, F.lit(True))
     full = each.filter("n_tokens >= capacity").select("pack_id", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n_tokens") / F.col("capacity")).cast("bigint") - 1)).alias("i"))
     full = full.select("pack_id", F.concat(F.lit("w-"), "doc_id", F.lit("-"), "i").alias("bin"), "doc_id", (F.col("i") * F.col("capacity")).alias("start"), F.col("capacity").alias("n_tokens"))
@@ -151,9 +151,14 @@ def pack(counts: DataFrame, capacities: DataFrame, shard: int = SHARD, good: flo
     return out
 
 
+def small(settings: DataFrame, most: int = 1000) -> DataFrame:
+    """``settings`` to be broadcast; more than ``most`` rows are left to an ordinary join, none is dropped."""
+    return F.broadcast(settings) if settings.limit(most + 1).count() <= most else settings
+
+
 def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """(pack_id, packs, tokens, unused, fewest): ``fewest`` is the number of packs no packing can beat."""
-    caps = F.broadcast(capacities.select("pack_id", "capacity_tokens").limit(1000))
+    caps = small(capacities.select("pack_id", "capacity_tokens"))
     per = packed.groupBy("pack_id", "bin").agg(F.sum("n_tokens").alias("t")).groupBy("pack_id").agg(F.count(F.lit(1)).alias("packs"), F.sum("t").alias("tokens"))
     cap = F.col("capacity_tokens").cast("bigint")
     return per.join(caps, "pack_id").select("pack_id", "packs", "tokens", (F.col("packs") * cap - F.col("tokens")).alias("unused"), F.ceil(F.col("tokens") / cap).alias("fewest"))

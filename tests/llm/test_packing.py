@@ -55,3 +55,10 @@ def test_texts(spark):
     assert got[0] == got[1] == (1, 2) and got[2:4] == [(2, 0), (3, 0)] and got[4][1] > 20_000 and got[5][1] > 1
     empty = packing.token_counts(df.limit(0))
     assert packing.pack(empty, spark.createDataFrame([(1, 512)], "pack_id int, capacity_tokens int")).count() == 0
+
+
+def test_no_setting_is_dropped(spark):
+    caps = spark.range(1100).selectExpr("cast(id as int) AS pack_id", "cast(10 + id as int) AS capacity_tokens").coalesce(2)
+    packed = packing.pack(spark.createDataFrame([(1, 7)], "doc_id bigint, n_tokens bigint"), caps)
+    assert packed.select("pack_id").distinct().count() == 1100
+    assert packing.fill_report(packed, caps).count() == 1100
