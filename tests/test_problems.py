@@ -300,6 +300,28 @@ def test_blocks_judge_by_the_whole_source(spark):
     assert flagged(spark, data, block=128) == want
 
 
+def test_the_tail_decides(spark):
+    rng = np.random.default_rng(11)
+    light, heavy = 100 + rng.uniform(-1, 1, 400), 100 + np.clip(rng.standard_t(1.5, 400), -12, 12)
+    light[200] += 5  # some 7 scatters of the light source; the heavy one goes that far by itself
+    data = [r | {"arrival_seq": i + 1} for i, r in enumerate(source(light, inst="a") + source(heavy, inst="b"))]
+    assert flagged(spark, data) == {201: "spike"}
+    z = np.abs(spikes.residuals(heavy))
+    assert (z / (1.4826 * np.median(z))).max() > 5 / (1.4826 * np.median(np.abs(spikes.residuals(light))))
+    assert len(flagged(spark, data, risk=0.05)) > 1 and flagged(spark, data, risk=1e-30) == {}
+
+
+def test_a_reading_copied_many_times_and_a_hot_minute(spark):
+    rng = np.random.default_rng(12)
+    x = 100 + rng.normal(0, 1, 900)
+    x[500] += 60
+    data = [r | {"ts_ns": 10**15 + i * 10**6} for i, r in enumerate(source(x))]  # all within a second
+    data += [dict(data[500])] * 300
+    data = [r | {"arrival_seq": i + 1} for i, r in enumerate(data)]
+    want = {501: "spike"} | {k: "spike" for k in range(901, 1201)}
+    assert flagged(spark, data) == want and flagged(spark, data, block=100) == want
+
+
 def test_normal_behaviour_is_not_flagged(spark):
     rng = np.random.default_rng(3)
     steps = [3.0] * 100 + [5.0] * 80 + [4.0] * 90
