@@ -45,6 +45,12 @@ def p9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the unedited passages, found by a plain join, the search finds too: all of them, by the SQL."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leaks.exact_runs(docs, items).join(p9_found(spark, sf_dir), ["doc_id", "item_id"], "left_semi")
+
+
 def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.statistics(docs, quality.fit_profiles(docs, table(spark, sf_dir, "doc_labels")))
@@ -62,7 +68,7 @@ def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p8_packs, p8_report, p9_found, p9_runs, p10_found, p10_statistics, p10_counts)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p8_packs, p8_report, p9_found, p9_runs, p9_exact, p10_found, p10_statistics, p10_counts)}
 
 #: Exact ranks; the summaries are exact for groups of fewer than 2048 values, which all groups are at this scale.
 _RANKS = """WITH ranked AS (
@@ -81,4 +87,24 @@ SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars,
   CAST(CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + 1 END AS BIGINT) AS n_lines,
   CAST(length(b) AS BIGINT) AS n_word_chars FROM s"""
 
-SQL = {"p10_counts": _COUNTS, "p1_percentiles": _RANKS, "p1_from_days": _RANKS}
+#: Texts with 20 consecutive words of an item as they are, nine triples of which at least fewer than three items have.
+_EXACT = """WITH it AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+tri AS (
+  SELECT item_id, p, array_to_string(list_slice(w, p, p + 2), ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS p FROM it) AS x),
+n AS (SELECT g, count(DISTINCT item_id) AS n FROM tri GROUP BY g),
+own AS (
+  SELECT item_id, p, sum(CASE WHEN n < 3 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY item_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 17 FOLLOWING) AS k
+  FROM tri JOIN n USING (g)),
+iw AS (
+  SELECT DISTINCT item_id, array_to_string(list_slice(w, p, p + 19), ' ') AS g
+  FROM own JOIN it USING (item_id) WHERE k >= 9 AND p + 19 <= len(w)),
+dw AS (
+  SELECT doc_id, array_to_string(list_slice(w, p, p + 19), ' ') AS g FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p
+    FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL) AS d) AS x)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
+
+SQL = {"p9_exact": _EXACT, "p10_counts": _COUNTS, "p1_percentiles": _RANKS, "p1_from_days": _RANKS}

@@ -102,3 +102,88 @@ def test_parts_of_a_large_item_set_find_the_same(spark, monkeypatch):
     e = spark.createDataFrame([(i, " ".join(w)) for i, w in ITEMS.items()], "item_id bigint, text string")
     monkeypatch.setattr(leaks, "MOST_ITEMS", 15)
     assert {tuple(r)[:2] for r in leaks.find_leaks(d, e).collect()} == {(i, i) for i in ITEMS}
+
+
+def plain_search(ix, terms, threshold):
+    score = {}
+    for g in terms:
+        for j, x in ix.post[g]:
+            score[j] = score.get(j, 0) + x
+    return sorted(j for j, x in score.items() if x >= threshold)
+
+
+def test_block_max_wand_against_all_postings():
+    rng = random.Random(8)
+    common = [sentence(30, rng) for _ in range(6)]  # wording in dozens of items each: long postings of many blocks
+    texts = [sentence(40, rng) + rng.choice(common) + sentence(20, rng) for _ in range(300)]
+    ix = leaks.Index([(i, " ".join(w)) for i, w in enumerate(texts)], block=4)
+    some = 0
+    for _ in range(200):
+        w = rng.choice(common)[: rng.randrange(5, 30)] + rng.choice(texts)[rng.randrange(40) :][:25] + sentence(10, rng)
+        terms = {g for g in zip(w, w[1:]) if g in ix.post}
+        for t in (0.05, 0.3, 1.0, 2.0):
+            got = ix.search(terms, t)
+            some += len(got)
+            assert sorted(got) == plain_search(ix, terms, t) and len(got) == len(set(got))
+    assert some > 500
+
+
+def test_a_single_item_and_very_long_items():
+    rng = random.Random(9)
+    for n_items, length in ((1, 60), (2, 60), (4, 3000), (60, 1500)):
+        items = {i: sentence(length, rng) for i in range(n_items)}
+        ix = leaks.Index([(i, " ".join(w)) for i, w in items.items()])
+        for i in list(items)[:4]:
+            a = rng.randrange(length - 20 + 1)
+            plain = items[i][a : a + 20]
+            spoilt = [w if k not in (4, 11) else "zzz" for k, w in enumerate(plain)]
+            for passage in (plain, spoilt):
+                text = " ".join(sentence(70, rng) + passage + sentence(70, rng))
+                assert [x for x, _ in leaks.leaked(ix, text)] == [i], (n_items, length)
+
+
+def test_recall_of_edited_passages_of_twenty_words():
+    ix, rng, found, tried = index(), random.Random(10), 0, 0
+    for i in range(40):
+        for a in range(0, 40, 5):
+            w = list(ITEMS[i][a : a + 20])
+            for k in rng.sample(range(1, 19), 2):  # one word in ten
+                w[k] = rng.choice(["zzz", "", w[k] + " qqq"])
+            tried += 1
+            found += i in [x for x, _ in leaks.leaked(ix, " ".join(sentence(40, rng) + w + sentence(40, rng)))]
+    print(f"recall {found}/{tried}")
+    assert found >= 0.9 * tried
+
+
+def test_own_passage_beside_a_longer_shared_one():
+    rng = random.Random(11)
+    own, shared = [sentence(24, rng) for _ in range(5)], sentence(40, rng)
+    ix = leaks.Index([(i, " ".join(shared + w)) for i, w in enumerate(own)])
+    text = " ".join(shared + sentence(4, rng) + own[2][:20] + sentence(30, rng))
+    assert [x for x, _ in leaks.leaked(ix, text)] == [2]
+
+
+def test_repeated_items_and_copies_under_several_ids():
+    ix = leaks.Index([(1, " ".join(ITEMS[30]))] * 5 + [(i, " ".join(ITEMS[31])) for i in (7, 8, 9)] + [(20, " ".join(ITEMS[32]))])
+    text = " ".join(ITEMS[30][:25] + ["zzz"] * 60 + ITEMS[31][:25])
+    assert sorted(x for x, _ in leaks.leaked(ix, text)) == [1, 7, 8, 9]
+
+
+def test_parts_count_shared_wording_over_all_items(spark, monkeypatch):
+    rng = random.Random(12)
+    shared = sentence(30, rng)
+    items = [(i, " ".join(sentence(30, rng) + (shared if i < 4 else sentence(30, rng)))) for i in range(40)]
+    docs = [(0, " ".join(shared)), (1, " ".join(words for words in items[3][1].split()[:30])), (2, " ".join(items[20][1].split()[10:40]))]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(tuple(r) for r in leaks.find_leaks(d, e).collect())
+    assert [x[:2] for x in whole] == [(1, 3), (2, 20)]
+    monkeypatch.setattr(leaks, "MOST_ITEMS", 10)
+    assert sorted(tuple(r) for r in leaks.find_leaks(d, e).collect()) == whole
+
+
+def test_exact_runs_are_all_found(spark):
+    docs = [(i, " ".join(sentence(15) + w[7:40] + sentence(15))) for i, w in ITEMS.items()] + [(99, None), (98, "")]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in ITEMS.items()], "item_id bigint, text string")
+    exact = {tuple(r) for r in leaks.exact_runs(d, e).collect()}
+    assert exact == {(i, i) for i in ITEMS} and exact <= {tuple(r)[:2] for r in leaks.find_leaks(d, e).collect()}
+    assert leaks.exact_runs(d.limit(0), e).count() == 0
