@@ -52,11 +52,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NestedTables(table(spark, sf_dir, "trace_payloads")).spans()
+    fields = {"trace_id": "traceId", "span_id": "spanId", "parent_span_id": "parentSpanId", "name": "name"}
+    return NestedTables(table(spark, sf_dir, "trace_payloads")).spans().select("payload_id", "span_index", *[F.get_json_object("content", f"$.{k}").alias(c) for c, k in fields.items()])
 
 
 def p5_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NestedTables(table(spark, sf_dir, "trace_payloads")).events()
+    return NestedTables(table(spark, sf_dir, "trace_payloads")).events().select("payload_id", "span_index", "event_index", F.get_json_object("content", "$.name").alias("name"))
+
+
+def p5_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NestedTables(table(spark, sf_dir, "trace_payloads")).rejected.select("payload_id", "reason")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +104,4 @@ def p7_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "spans").join(keep, "arrival_seq", "left_semi").select("arrival_seq", normal_id("trace_id").alias("trace_id"), normal_id("span_id").alias("span_id"), "name", "service_name", "start_ns", "duration_ns", "status_code")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_grid, p4_found, p4_periods, p5_found, p5_spans, p5_events, p6_found, p6_reasons, p7_found, p7_winners)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_grid, p4_found, p4_periods, p5_found, p5_spans, p5_events, p5_rejected, p6_found, p6_reasons, p7_found, p7_winners)}

@@ -36,6 +36,36 @@ placed AS (
   FROM rows_ WHERE e IS NOT NULL),
 judged AS (SELECT *, a < period_ns + 7800000000000 AS ok FROM placed)"""
 
+#: Every value of a payload by kind: spans, events, attribute sets, and below these plain and typed values.
+_WALK = r"""WITH RECURSIVE walk AS (
+  SELECT payload_id, 'top' AS kind, CAST(-1 AS INT) AS si, CAST(-1 AS INT) AS ei, '' AS path, CAST(payload AS JSON) AS j
+  FROM trace_payloads WHERE payload IS NOT NULL AND json_valid(payload)
+  UNION ALL
+  SELECT payload_id, n.kind, n.si, n.ei, n.path, n.j FROM (
+    SELECT payload_id, unnest(CASE
+      WHEN kind IN ('top', 'spans', 'events', 'set') AND json_type(j) = 'VARCHAR' THEN
+        CASE WHEN json_valid(j ->> '$') THEN [{'kind': kind, 'si': si, 'ei': ei, 'path': path, 'j': CAST(j ->> '$' AS JSON)}] END
+      WHEN kind = 'top' AND json_type(j) = 'OBJECT' THEN [{'kind': 'spans', 'si': si, 'ei': ei, 'path': path, 'j': j -> 'spans'}]
+      WHEN kind = 'spans' AND json_type(j) = 'ARRAY' THEN list_transform(CAST(j AS JSON[]), lambda x, i: {'kind': 'span', 'si': CAST(i - 1 AS INT), 'ei': ei, 'path': path, 'j': x})
+      WHEN kind = 'spans' AND json_type(j) = 'OBJECT' THEN [{'kind': 'span', 'si': CAST(0 AS INT), 'ei': ei, 'path': path, 'j': j}]
+      WHEN kind = 'span' AND json_type(j) = 'OBJECT' THEN [
+        {'kind': 'set', 'si': si, 'ei': CAST(-1 AS INT), 'path': path, 'j': j -> 'attributes'}, {'kind': 'set', 'si': si, 'ei': CAST(-2 AS INT), 'path': path, 'j': j -> 'resource'},
+        {'kind': 'events', 'si': si, 'ei': ei, 'path': path, 'j': j -> 'events'}]
+      WHEN kind = 'events' AND json_type(j) = 'ARRAY' THEN list_transform(CAST(j AS JSON[]), lambda x, i: {'kind': 'event', 'si': si, 'ei': CAST(i - 1 AS INT), 'path': path, 'j': x})
+      WHEN kind = 'events' AND json_type(j) = 'OBJECT' THEN [{'kind': 'event', 'si': si, 'ei': CAST(0 AS INT), 'path': path, 'j': j}]
+      WHEN kind = 'event' AND json_type(j) = 'OBJECT' THEN [{'kind': 'set', 'si': si, 'ei': ei, 'path': path, 'j': j -> 'attributes'}]
+      WHEN kind IN ('set', 'plain') AND json_type(j) = 'OBJECT' THEN
+        list_transform(map_entries(CAST(j AS MAP(VARCHAR, JSON))), lambda e: {'kind': 'plain', 'si': si, 'ei': ei, 'path': path || '/' || e.key, 'j': e.value})
+      WHEN kind = 'plain' AND json_type(j) = 'ARRAY' THEN
+        list_transform(CAST(j AS JSON[]), lambda x, i: {'kind': 'plain', 'si': si, 'ei': ei, 'path': path || '/' || (i - 1), 'j': x})
+      WHEN kind = 'set' AND json_type(j) = 'ARRAY' THEN
+        list_transform(list_filter(CAST(j AS JSON[]), lambda x: json_type(x) = 'OBJECT' AND json_exists(x, '$.key')), lambda x: {'kind': 'typed', 'si': si, 'ei': ei, 'path': path || '/' || (x ->> 'key'), 'j': x -> 'value'})
+      WHEN kind = 'typed' AND json_type(j) = 'OBJECT' THEN
+        list_transform(list_filter(['stringValue', 'intValue', 'doubleValue', 'boolValue', 'bytesValue'], lambda k: json_exists(j, '$.' || k)), lambda k: {'kind': 'plain', 'si': si, 'ei': ei, 'path': path, 'j': j -> k})
+        || coalesce(list_transform(CAST(j -> 'arrayValue' -> 'values' AS JSON[]), lambda x, i: {'kind': 'typed', 'si': si, 'ei': ei, 'path': path || '/' || (i - 1), 'j': x}), [])
+        || coalesce(list_transform(CAST(j -> 'kvlistValue' -> 'values' AS JSON[]), lambda x: {'kind': 'typed', 'si': si, 'ei': ei, 'path': path || '/' || (x ->> 'key'), 'j': x -> 'value'}), [])
+      END) AS n FROM walk) AS w)"""
+
 SQL = {
     "p2_found": f"""{_TREE}
 SELECT f.t AS trace_id, f.s AS span_id FROM firsts AS f
@@ -62,6 +92,22 @@ SELECT service_name, period_ns, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS n,
   CAST(count(*) FILTER (WHERE ok AND bad) AS BIGINT) AS errors, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS refused,
   CAST(NULL AS BOOLEAN) AS closed
 FROM judged GROUP BY service_name, period_ns""",
+    "p5_found": f"""{_WALK}
+SELECT DISTINCT payload_id, si AS span_index, ei AS event_index, substr(path, 2) AS attr_path FROM walk
+WHERE kind IN ('plain', 'typed') AND json_type(j) IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE', 'BOOLEAN')""",
+    "p5_spans": f"""{_WALK}
+SELECT payload_id, si AS span_index, j ->> 'traceId' AS trace_id, j ->> 'spanId' AS span_id, j ->> 'parentSpanId' AS parent_span_id, j ->> 'name' AS name
+FROM walk WHERE kind = 'span' AND json_type(j) = 'OBJECT'""",
+    "p5_events": f"""{_WALK}
+SELECT payload_id, si AS span_index, ei AS event_index, j ->> 'name' AS name FROM walk WHERE kind = 'event' AND json_type(j) = 'OBJECT'""",
+    "p5_rejected": """WITH RECURSIVE top AS (
+  SELECT payload_id, payload AS p FROM trace_payloads
+  UNION ALL
+  SELECT payload_id, CAST(p AS JSON) ->> '$' FROM top WHERE json_valid(p) AND json_type(CAST(p AS JSON)) = 'VARCHAR')
+SELECT t.payload_id, CASE WHEN t.payload IS NULL THEN 'null' WHEN trim(t.payload, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 'blank'
+  WHEN NOT json_valid(t.payload) THEN 'not JSON' ELSE 'no object' END AS reason
+FROM trace_payloads AS t
+WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.payload_id = t.payload_id AND json_valid(p) AND json_type(CAST(p AS JSON)) = 'OBJECT')""",
     "p7_found": f"""WITH {_IDS}
 SELECT arrival_seq FROM (
   SELECT arrival_seq, row_number() OVER (PARTITION BY t, s ORDER BY arrival_seq) AS rn FROM ids WHERE t <> '' AND s <> '') AS x

@@ -1,7 +1,7 @@
 """Tables in the shared folder of the cluster: cutting lineage so that a lost executor costs no recomputation.
 
-The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-one is made under the system's temporary folder and set.
+The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset and the master is
+local (tests, a laptop) one is made under the system's temporary folder and set.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder; made and set only where the session has none."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="teleloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -51,8 +53,10 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def put(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Stores a table, in a folder for each value of column ``by`` if one is named."""
+        write = df.write.mode("overwrite")
+        (write.partitionBy(by) if by else write).parquet(self.path(name))
         return self.get(name, df.schema)
 
     def get(self, name: str, schema=None) -> DataFrame:

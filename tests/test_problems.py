@@ -252,6 +252,77 @@ def test_very_deep_payload_is_no_crash(spark):
     assert n.attributes().count() == 0
 
 
+def rebuilt(n, h):
+    """The value of an attribute set from its objects and bridge rows."""
+    body = {bytes(r["h"]): json.loads(r["content"]) for r in n.objects.collect()}
+    links = defaultdict(list)
+    for r in n.bridge.collect():
+        links[bytes(r["parent"])].append((r["key"], r["ordinal"], bytes(r["child"])))
+
+    def value(h):
+        own = body[h]
+        for key, i, child in links[h]:
+            own[key if isinstance(own, dict) else i] = value(child)
+        return own
+
+    return value(h)
+
+
+def test_payloads_far_deeper_than_the_stack(spark):
+    text = '{"intValue":"1"}'
+    plain = '{"k":' * 20_000 + "1" + "}" * 20_000
+    for _ in range(2000):
+        text = '{"kvlistValue":{"values":[{"key":"a","value":' + text + "}]}}"
+    payloads = [(1, '{"spans":[{"attributes":[{"key":"a","value":' + text + "}]}]}"), (2, '{"spans":[{"resource":' + plain + "}]}"), (3, '{"spans":[{"resource":' + plain[:-5] + "}]}"), (4, '{"spans":[{"attributes":{"a":1}}]}')]
+    n = NestedTables(spark.createDataFrame(payloads, "payload_id bigint, payload string"))
+    got = {r["payload_id"]: r["attr_path"] for r in n.attributes().collect()}
+    assert {k: (v.count("/"), v[:3]) for k, v in got.items()} == {1: (2000, "a/a"), 2: (19_999, "k/k"), 4: (0, "a")}
+    assert [(r["payload_id"], r["reason"]) for r in n.rejected.collect()] == [(3, "not JSON")]
+
+
+def test_deep_loads_is_the_parser():
+    from teleloom.operators.nested import deep_loads
+
+    texts = ["[]", "{}", " [1 , 2.5e3,-0,[{}],\"\\u00e9\\n\"] ", '{"a":{"b":[null,true,false]},"a":2}', "[1,]", "[,1]", "{,}", '{"a"}', '{"a":}', '{"a":1,}', "[1}", "{]", "[1 2]", "1 2", "", " ", "nul", "NaN", "-", "01", "1.", '"a', '["\\x"]', "[[1]", "]", '{1:2}', '"\t"', "\ufeff1", "[1]]", "tru", "3", '"s"']
+    for t in texts:
+        try:
+            want = json.loads(t, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
+        except ValueError:
+            with pytest.raises(ValueError):
+                deep_loads(t)
+        else:
+            assert deep_loads(t) == want, t
+
+
+def test_layers_root_spans_and_odd_values(spark):
+    layered = json.dumps({"a": 1})
+    for _ in range(12):
+        layered = json.dumps(layered)
+    lone = {"spanId": "r", "attributes": {"only": "here"}}
+    payloads = [(1, '{"spans":[{"attributes":' + layered + "}]}"), (2, json.dumps({"spans": [], "rootSpan": lone})), (3, json.dumps({"spans": [lone], "rootSpan": lone})),
+                (4, '{"spans":[{"attributes":[{"key":"a","value":{"arrayValue":"x"}},{"key":"b","value":{"kvlistValue":[1]}},{"key":"c","value":{"arrayValue":null}}]}]}'),
+                (5, '{"spans":[{"name":"\\ud800","attributes":{"\\udfff":"\\ud800x"}}]}'), (6, '{"spans":[{"attributes":{"n":' + "9" * 5000 + "}}]}"), (7, ' "[]" '), (8, "\t"), (9, None)]
+    n = NestedTables(spark.createDataFrame(payloads, "payload_id bigint, payload string"))
+    assert sorted((r["payload_id"], r["attr_path"]) for r in n.attributes().collect()) == [(1, "a"), (3, "only"), (5, "?"), (6, "n")]
+    root = n.bridge.filter("role = 'root'").join(n.objects, F.col("child") == F.col("h"))
+    assert root.count() == 2 and root.select("child").distinct().count() == 1 and root.filter("content like '%\"r\"%'").count() == 2
+    assert {r["payload_id"]: r["reason"] for r in n.rejected.collect()} == {7: "no object", 8: "blank", 9: "null"}
+
+
+def test_nested_objects_are_shared_at_any_depth(spark):
+    inner = {"p": 1, "q": [{"r": 2}, None, "s", [{"r": 2}]]}
+    trees = [{"x": inner}, {"y": inner, "z": [inner, 3]}, {"deep": {"er": {"x": inner}}}]
+    payloads = [(i, json.dumps({"spans": [{"attributes": style(t)}]})) for i, t in enumerate(trees) for style in (lambda t: t, otlp) if style is not otlp or i == 1]
+    payloads = [(i, p) for i, (_, p) in enumerate(payloads)]
+    n = NestedTables(spark.createDataFrame(payloads, "payload_id bigint, payload string"))
+    of = lambda c: n.objects.filter(F.col("content") == c).count()
+    assert of('{"r":2}') == 1 and of('{"p":1}') == 1 and n.objects.filter("kind = 'attributes'").count() == 3
+    child = n.objects.filter("content = '{\"p\":1}'").first()["h"]
+    assert n.bridge.filter(F.col("child") == F.lit(bytes(child))).count() == 4
+    want = {json.dumps(t, sort_keys=True) for t in trees}
+    assert {json.dumps(rebuilt(n, bytes(r["h"])), sort_keys=True) for r in n.objects.filter("kind = 'attributes'").collect()} == want
+
+
 # spikes
 
 
