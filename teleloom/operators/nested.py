@@ -17,8 +17,9 @@ import json
 import re
 from collections.abc import Iterator
 from json.decoder import scanstring
+from json.encoder import c_make_encoder, encode_basestring
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,11 +163,21 @@ def leaves(x, typed: bool = False) -> Iterator[tuple[str, str, str]]:
             if kind is not None:
                 stack.append((p, e, kind))
             elif e is not None:
-                yield p, "boolean" if isinstance(e, bool) else "string" if isinstance(e, str) else "number", json.dumps(e, ensure_ascii=False)
+                yield p, kind_of(e), canonical(e)
+
+
+def kind_of(x) -> str:
+    return "string" if isinstance(x, str) else "boolean" if isinstance(x, bool) else "number"
+
+
+_ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+_PIECES = c_make_encoder and c_make_encoder(None, _ENCODER.default, encode_basestring, None, ":", ",", True, False, True)
 
 
 def canonical(x) -> str:
-    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    if isinstance(x, str):
+        return encode_basestring(x)
+    return "".join(_PIECES(x, 0)) if _PIECES else _ENCODER.encode(x)
 
 
 def name_of(kind: str, content: str) -> bytes:
@@ -180,6 +191,7 @@ def readable(x):
 
 #: The columns that all tables are written in.
 COLUMNS = "what string, h binary, a string, k string, n bigint, b binary, c string"
+_ARROW = [(c.split()[0], {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}[c.split()[1]]) for c in COLUMNS.split(", ")]
 
 
 class Merkle:
@@ -188,11 +200,12 @@ class Merkle:
     def __init__(self):
         self.rows: list[tuple] = []
         self.known: set[bytes] = set()
+        self.texts: dict[str, bytes | None] = {}  # attribute sets that were read from a string
 
     def add(self, kind: str, own, children: list[tuple[str, str | None, int, bytes]]) -> tuple[bytes, bool]:
         """Names an object by its own scalars and its children (role, key, ordinal, name); stores it, and says so, unless it is known here."""
         body = canonical(own)
-        h = name_of(kind, body + "".join(f"\0{r}\0{k}\0{i}\0{c.hex()}" for r, k, i, c in children))
+        h = name_of(kind, body + "".join(f"\0{r}\0{k}\0{i}\0{c.hex()}" for r, k, i, c in children) if children else body)
         if h in self.known:
             return h, False
         self.known.add(h)
@@ -202,9 +215,23 @@ class Merkle:
 
     def attributes(self, x) -> bytes | None:
         """The name of an attribute set with all that is nested in it; None if it is empty."""
+        if isinstance(x, str):
+            if x not in self.texts:
+                self.texts[x] = self.attributes(unpacked(x))
+            return self.texts[x]
         top, typed = attribute_set(x)
         if not top:
             return None
+        flat = {}
+        for k, v in top.items():
+            flat[k], deeper = shape(v, typed)
+            if deeper is not None:
+                break
+        else:  # most are flat
+            h, new = self.add("attributes", flat, [])
+            if new:
+                self.rows.extend(("leaf", h, k, kind_of(v), None, None, canonical(v)) for k, v in flat.items() if v is not None)
+            return h
         # A frame is [kind, members still to come, whether they are typed, scalars, links, place in the frame above].
         frames = [["attributes", iter(top.items()), typed, {}, [], None]]
         while True:
@@ -262,8 +289,12 @@ class Merkle:
         top = unpacked(top)
         if not isinstance(top, dict):
             return None, "no object"
-        links = [("span", None, i, self.span(s)) for i, s in enumerate(as_list(top.get("spans"))) if isinstance(s, dict)]
-        links += [("root", None, 0, self.span(s)) for s in as_list(top.get("rootSpan"))[:1] if isinstance(s, dict)]
+        spans = as_list(top.get("spans"))
+        links = [("span", None, i, self.span(s)) for i, s in enumerate(spans) if isinstance(s, dict)]
+        for root in as_list(top.get("rootSpan"))[:1]:
+            if isinstance(root, dict):
+                same = next((h for _, _, i, h in links if spans[i] == root), None)
+                links.append(("root", None, 0, same or self.span(root)))
         return self.record("payload", top, ("spans", "rootSpan"), links), ""
 
 
@@ -277,26 +308,25 @@ class NestedTables:
 
     def __init__(self, payloads: DataFrame, id_col: str = "payload_id", text_col: str = "payload", keep: int = 200_000):
         spark = payloads.sparkSession
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
 
-        def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = Merkle()
-            for df in batches:
-                roots, odd = [], False
-                for pid, text in zip(df["id"], df["text"]):
+            for batch in batches:
+                odd = False
+                for pid, text in zip(*(c.to_pylist() for c in batch.columns)):
                     h, why = m.payload(text)
-                    roots.append(("reject", None, why, None, pid, None, text) if h is None else ("root", h, None, None, pid, None, None))
+                    m.rows.append(("reject", None, why, None, pid, None, text) if h is None else ("root", h, None, None, pid, None, None))
                     odd = odd or (isinstance(text, str) and "\\ud" in text.lower())
-                rows = m.rows + roots
-                out = pd.DataFrame([tuple(map(readable, r)) for r in rows] if odd else rows, columns=names).astype({"n": "Int64"})
-                yield out
-                m.rows = []
+                rows, m.rows = [tuple(map(readable, r)) for r in m.rows] if odd else m.rows, []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _ARROW)], names=[c for c, _ in _ARROW])
                 if len(m.known) > keep:  # bounded memory; what comes again is dropped by the distinct below
                     m.known.clear()
+                    m.texts.clear()
 
         raw = payloads.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
         self.ws = Workspace(spark, "nested")
-        rows = self.ws.put("parsed", raw.mapInPandas(parse, COLUMNS), by="what")
+        rows = self.ws.put("parsed", raw.mapInArrow(parse, COLUMNS), by="what")
         self.roots = rows.filter("what = 'root'").select(F.col("n").alias("payload_id"), F.col("h").alias("root"))
         self.rejected = rows.filter("what = 'reject'").select(F.col("n").alias("payload_id"), F.col("a").alias("reason"), F.col("c").alias("payload"))
         self.objects = rows.filter("what = 'object'").select("h", F.col("a").alias("kind"), F.col("c").alias("content")).dropDuplicates(["h"])
