@@ -4,9 +4,11 @@ A pack is filled greedily, the largest item that fits coming first. When none fi
 the two unpacked items that fill the widened gap most tightly, if they fill it better than the item did. A text is
 divided only if it alone exceeds the capacity: its full-length pieces are packs of their own, the rest is an item.
 
-Items are dealt to shards of bounded size by a hash of their id, so no task sees more than a shard whatever the
-input. Packs that a shard leaves less full than ``good`` are opened again and dealt to fewer shards, round by round;
-what is left open at the end is less than a pack or two for a last shard.
+Items are dealt to shards of bounded size by a hash of their number, so no task sees more than a shard whatever the
+input and however full packs can get. Packs that a shard leaves less full than ``good`` are opened again and dealt
+anew, to as many shards as what is left needs. The rounds end when a last one fits one shard, or when a round closes
+less than a tenth of what it was given: sizes that do not go together better stay as they are, and each shard leaves
+one pack at most that another shard could have filled.
 """
 
 from __future__ import annotations
@@ -100,51 +102,52 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 def _filler(tag: str, keep: float):
     def fill(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("doc_id", kind="stable").reset_index(drop=True)
+        df = df.sort_values("item", kind="stable").reset_index(drop=True)
         cap, who = int(df["capacity"].iloc[0]), df["_shard"].iloc[0]
         n = df["n_tokens"].to_numpy(np.int64)
         name, opened = np.empty(len(df), object), np.zeros(len(df), bool)
         for j, items in enumerate(best_two_fit(n, cap)):
             name[items] = f"{tag}-{who}-{j}"
             opened[items] = n[items].sum() < keep * cap
-        out = df[["pack_id", "capacity"]].assign(bin=name, doc_id=df["doc_id"], start=df["start"], n_tokens=n)
+        out = df[["pack_id", "capacity"]].assign(bin=name, item=df["item"], doc_id=df["doc_id"], start=df["start"], n_tokens=n)
         out["open"] = opened
         return out
 
     return fill
 
 
+def shards_of(items: int, shard: int) -> int:
+    """Into how many shards ``items`` are dealt by hash so that none gets more than ``shard``: the mean is six standard deviations below."""
+    return 1 if items <= shard else -(-items // max(1, int(shard - 6 * shard**0.5)))
+
+
 def pack(counts: DataFrame, capacities: DataFrame, shard: int = SHARD, good: float = GOOD) -> DataFrame:
     """(pack_id, bin, doc_id, start, n_tokens): the tokens of a text from ``start`` on that lie in pack ``bin``.
 
-    ``counts`` is (doc_id, n_tokens); texts without tokens are in no pack. ``capacities`` is (pack_id,
-    capacity_tokens), a small table of settings; rows with a null or non-positive capacity are left out.
+    ``counts`` is (doc_id, n_tokens); texts without tokens are in no pack, repeated rows and null ids are texts of
+    their own. ``capacities`` is (pack_id, capacity_tokens), a small table of settings; rows with a null or
+    non-positive capacity are left out, and settings of one pack_id with several capacities are packed apart.
     """
     spark = counts.sparkSession
     ws = Workspace(spark, "packing")
-    counts = ws.put("counts", counts.filter("n_tokens > 0"))
-    total = counts.count()
-    sizes = small(capacities.filter("capacity_tokens > 0").select("pack_id", F.col("capacity_tokens").cast("bigint").alias("capacity")))
+    counts = ws.put("counts", counts.filter("n_tokens > 0").withColumn("item", F.monotonically_increasing_id()))
+    sizes = small(capacities.filter("capacity_tokens > 0").select("pack_id", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct())
     # Every text meets every capacity setting.
     each = counts.join(sizes, F.lit(True))
-    full = each.filter("n_tokens >= capacity").select("pack_id", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n_tokens") / F.col("capacity")).cast("bigint") - 1)).alias("i"))
-    full = full.select("pack_id", F.concat(F.lit("w-"), "doc_id", F.lit("-"), "i").alias("bin"), "doc_id", (F.col("i") * F.col("capacity")).alias("start"), F.col("capacity").alias("n_tokens"))
-    rest = each.withColumn("n", F.col("n_tokens") % F.col("capacity")).filter("n > 0").select("pack_id", "capacity", "doc_id", (F.col("n_tokens") - F.col("n")).alias("start"), F.col("n").alias("n_tokens"))
-    shards = max(1, -(-total // shard))
-    done, k, schema = [full], 0, "pack_id int, capacity bigint, bin string, doc_id bigint, start bigint, n_tokens bigint, open boolean"
-    last = False
-    while not last:
-        last = shards == 1
-        keep = 0.0 if last else good
-        n = shards
-        placed = rest.withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(n))).groupBy("pack_id", "_shard").applyInPandas(_filler(f"r{k}", keep), schema)
+    full = each.filter("n_tokens >= capacity").select("pack_id", "item", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("n_tokens") / F.col("capacity")) - 1)).alias("i"))
+    full = full.select("pack_id", F.concat(F.lit("w-"), "item", F.lit("-"), "capacity", F.lit("-"), "i").alias("bin"), "doc_id", (F.col("i") * F.col("capacity")).alias("start"), F.col("capacity").alias("n_tokens"))
+    rest = each.withColumn("n", F.col("n_tokens") % F.col("capacity")).filter("n > 0").select("pack_id", "capacity", "item", "doc_id", (F.col("n_tokens") - F.col("n")).alias("start"), F.col("n").alias("n_tokens"))
+    done, k, schema = [full], 0, "pack_id int, capacity bigint, bin string, item bigint, doc_id bigint, start bigint, n_tokens bigint, open boolean"
+    left, before = counts.count(), None
+    while left:
+        shards = shards_of(left, shard)
+        last = shards == 1 or (before is not None and left > 0.9 * before)
+        placed = rest.withColumn("_shard", F.pmod(F.xxhash64("item", F.lit(k)), F.lit(shards))).groupBy("pack_id", "capacity", "_shard").applyInPandas(_filler(f"r{k}", 0.0 if last else good), schema)
         placed = ws.put(f"round{k}", placed)
-        done.append(placed.filter("not open").select("pack_id", "bin", "doc_id", "start", "n_tokens"))
-        rest = placed.filter("open").select("pack_id", "capacity", "doc_id", "start", "n_tokens")
-        left = 0 if last else rest.groupBy("pack_id").count().agg(F.max("count")).first()[0] or 0
-        shards, k = (min(shards // 2, -(-left // shard)) or 1), k + 1
-        if not last and not left:
-            break
+        done.append(placed.filter("not open").select("pack_id", F.concat("bin", F.lit("-"), "capacity").alias("bin"), "doc_id", "start", "n_tokens"))
+        rest = placed.filter("open").select("pack_id", "capacity", "item", "doc_id", "start", "n_tokens")
+        before, k = left, k + 1
+        left = 0 if last else rest.groupBy("pack_id", "capacity").count().agg(F.max("count")).first()[0] or 0
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -162,3 +165,20 @@ def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     per = packed.groupBy("pack_id", "bin").agg(F.sum("n_tokens").alias("t")).groupBy("pack_id").agg(F.count(F.lit(1)).alias("packs"), F.sum("t").alias("tokens"))
     cap = F.col("capacity_tokens").cast("bigint")
     return per.join(caps, "pack_id").select("pack_id", "packs", "tokens", (F.col("packs") * cap - F.col("tokens")).alias("unused"), F.ceil(F.col("tokens") / cap).alias("fewest"))
+
+
+def violations(packed: DataFrame, counts: DataFrame, capacities: DataFrame) -> DataFrame:
+    """(pack_id, too_full, lost, divided): packs above their capacity, texts whose tokens are not all in packs exactly
+    once, and texts that were divided though they fit; all zero for a right packing. One row for each usable setting.
+
+    ``doc_id`` must be unique.
+    """
+    caps = small(capacities.filter("capacity_tokens > 0").select("pack_id", F.col("capacity_tokens").cast("bigint").alias("capacity")))
+    full = packed.groupBy("pack_id", "bin").agg(F.sum("n_tokens").alias("t")).join(caps, "pack_id").groupBy("pack_id").agg(F.count_if(F.col("t") > F.col("capacity")).alias("too_full"))
+    # Pieces that neither overlap nor leave gaps end where their sizes add up to.
+    texts = packed.groupBy("pack_id", "doc_id").agg(F.sum("n_tokens").alias("t"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("start").alias("starts"))
+    each = counts.filter("n_tokens > 0").join(caps, F.lit(True)).select("pack_id", "doc_id", "n_tokens", "capacity")
+    both = each.join(texts, ["pack_id", "doc_id"], "full")
+    whole = F.coalesce((F.col("t") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")) & (F.col("starts") == F.col("pieces")), F.lit(False))
+    of = both.groupBy("pack_id").agg(F.count_if(~whole).alias("lost"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("divided"))
+    return caps.select("pack_id").join(full, "pack_id", "left").join(of, "pack_id", "left").select("pack_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("too_full", "lost", "divided")])

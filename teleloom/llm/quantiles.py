@@ -3,12 +3,18 @@
 A summary holds at most ``b`` sorted buffers of ``k`` values, each with a weight, and a tail of fewer than ``k`` raw
 values. A full summary collapses all buffers of its lowest level into one: of the weighted merge, it keeps every W-th
 value, W being the sum of the weights, from the middle on (for even W alternately just below and above it). The
-levels form a tree, so a value passes through few collapses. Each collapse moves no rank by more than W / 2; the sum
-is kept in the summary, so every answer comes with a proven bound. Groups of fewer than ``k`` values are exact.
+levels form a tree, so a value passes through few collapses. Each collapse moves no rank by more than (W + 1) / 2; the
+sum is kept in the summary, so every answer comes with a proven bound. Groups of fewer than ``k`` values are exact.
+
+A bound is known beforehand too. A buffer of level l + 1 comes of two of level l at least, so it weighs 2^(l+1) or more
+and no level is above log2(n / k). A value takes part in one collapse a level at most, so the weights of all collapses
+of a level add up to n / k at most. The error of n values is therefore below (log2(n / k) + 2) n / 2k in any order of
+collapses and merges; ``buffer_size`` turns this around and gives the k for a wanted error.
 
 Summaries of partitions, days or earlier runs merge into a summary of all, whose bound is the sum of theirs and of
 its own collapses. A partition builds one summary for each of its groups; a group's summaries are merged first in
-``fan`` parts and then in one, each merge a stream of bounded rows, so no group is ever gathered.
+``fan`` parts and then in one, each merge a stream of bounded rows, so no group is ever gathered. They are merged in
+the order of their contents, so that one set of summaries gives one result, however it was shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +30,14 @@ from pyspark.sql import functions as F
 K, B, FAN, CHUNK, MOST_GROUPS = 2048, 10, 16, 1 << 18, 20_000
 
 
+def buffer_size(error: float, most: int) -> int:
+    """The least power of two k with which no rank among up to ``most`` values is off by more than ``error`` times their number."""
+    k = 1
+    while k < most and (math.log2(max(1.0, most / k)) + 2) / (2 * k) > error:
+        k *= 2
+    return k
+
+
 class Summary:
     """A mergeable quantile summary of numbers."""
 
@@ -53,10 +67,11 @@ class Summary:
 
     def _shrink(self) -> None:
         while len(self.buffers) > self.b:
-            levels = sorted({x[0] for x in self.buffers})
-            low = levels[0]
-            if sum(x[0] == low for x in self.buffers) < 2:
-                low = levels[1]
+            levels = [x[0] for x in self.buffers]
+            twice = [lv for lv in levels if levels.count(lv) > 1]
+            if not twice:  # one buffer a level: no more of them than log2(n / k)
+                return
+            low = min(twice)
             chosen = [x for x in self.buffers if x[0] <= low]
             rest = [x for x in self.buffers if x[0] > low]
             total = sum(w for _, w, _ in chosen)
@@ -191,9 +206,10 @@ def merge_summaries(parts: DataFrame, keys: list[str], k: int = K, b: int = B, f
             yield pd.DataFrame([(*now, *s.row())], columns=cols)
 
     cols = parts.columns
-    one = parts.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(fan)))
-    one = one.repartition(*keys, "_part").sortWithinPartitions(*keys).select(*cols).mapInPandas(fold, schema)
-    return one.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(fold, schema)
+    order = [*keys, "n", "levels", "weights", "points", "rank_error"]
+    one = parts.withColumn("_part", F.pmod(F.xxhash64("n", "weights", "points"), F.lit(fan)))
+    one = one.repartition(*keys, "_part").sortWithinPartitions("_part", *order).select(*cols).mapInPandas(fold, schema)
+    return one.repartition(*keys).sortWithinPartitions(*order).mapInPandas(fold, schema)
 
 
 def percentiles(merged: DataFrame, keys: list[str], qs: dict[str, float], k: int = K, b: int = B) -> DataFrame:
@@ -211,3 +227,19 @@ def percentiles(merged: DataFrame, keys: list[str], qs: dict[str, float], k: int
             yield out
 
     return merged.mapInPandas(ask, schema)
+
+
+def within_bound(df: DataFrame, keys: list[str], value: str, answers: DataFrame, qs: dict[str, float]) -> DataFrame:
+    """keys, n and for each of ``qs`` whether the answer's true ranks, counted over all values, come within its rank_error of ceil(q n)."""
+    kind = dict(answers.dtypes)[next(iter(qs))]
+    rows = df.select(*keys, F.col(value).cast(kind).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
+    named = answers.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("n").alias("_n"), "rank_error", *qs)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    # The values are counted before they meet the answers, so that a group of any size is a partial sum.
+    each = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = [F.sum(F.when(F.col("_v") < F.col(q), F.col("_c")).otherwise(0)).alias(f"_lt_{q}") for q in qs] + [F.sum(F.when(F.col("_v") <= F.col(q), F.col("_c")).otherwise(0)).alias(f"_le_{q}") for q in qs]
+    seen = each.join(named, cond).groupBy(*keys).agg(F.sum("_c").alias("n"), F.first("_n").alias("_n"), F.first("rank_error").alias("_e"), *counts)
+    want = {q: F.greatest(F.ceil(F.lit(x) * F.col("n")), F.lit(1)) for q, x in qs.items()}
+    return seen.select(*keys, "n", *[((F.col("n") == F.col("_n")) & (F.col(f"_lt_{q}") + 1 - F.col("_e") <= want[q]) & (want[q] <= F.col(f"_le_{q}") + F.col("_e"))).alias(q) for q in qs])

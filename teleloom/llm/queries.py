@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from teleloom.llm import leaks, packing, quality, quantiles
+from teleloom.plans.storage import Workspace
 from teleloom.sources.tables import table
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
@@ -25,6 +26,14 @@ def p1_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge_summaries(days.drop("day"), GROUP), GROUP, QUANTILES)
 
 
+def p1_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the answers of small buffers, which collapse in most groups, are within their bound; the SQL says all are."""
+    spans, k = table(spark, sf_dir, "spans"), 32
+    answers = quantiles.percentiles(quantiles.merge_summaries(quantiles.summaries(spans, GROUP, "duration_ns", k, 4), GROUP, k, 4), GROUP, QUANTILES, k, 4)
+    answers = Workspace(spark, "answers").put("answers", answers)
+    return quantiles.within_bound(spans, GROUP, "duration_ns", answers, QUANTILES)
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"))
 
@@ -37,6 +46,13 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the packs, counted over all of them; the SQL says nothing is."""
+    counts = Workspace(spark, "counts").put("tokens", packing.token_counts(table(spark, sf_dir, "documents")))
+    sizes = table(spark, sf_dir, "pack_sizes")
+    return packing.violations(packing.pack(counts, sizes), counts, sizes)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -68,7 +84,7 @@ def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p8_packs, p8_report, p9_found, p9_runs, p9_exact, p10_found, p10_statistics, p10_counts)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_from_days, p1_within, p8_packs, p8_report, p8_violations, p9_found, p9_runs, p9_exact, p10_found, p10_statistics, p10_counts)}
 
 #: Exact ranks; the summaries are exact for groups of fewer than 2048 values, which all groups are at this scale.
 _RANKS = """WITH ranked AS (
@@ -107,4 +123,10 @@ dw AS (
     FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL) AS d) AS x)
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
 
-SQL = {"p9_exact": _EXACT, "p10_counts": _COUNTS, "p1_percentiles": _RANKS, "p1_from_days": _RANKS}
+_NO_VIOLATIONS = """SELECT pack_id, CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS divided
+FROM pack_sizes WHERE capacity_tokens > 0"""
+
+_WITHIN = """SELECT service_name, name, CAST(count(*) AS BIGINT) AS n, true AS p50, true AS p90, true AS p99
+FROM spans WHERE duration_ns IS NOT NULL GROUP BY service_name, name"""
+
+SQL = {"p1_within": _WITHIN, "p8_violations": _NO_VIOLATIONS, "p9_exact": _EXACT, "p10_counts": _COUNTS, "p1_percentiles": _RANKS, "p1_from_days": _RANKS}

@@ -62,3 +62,44 @@ def test_no_setting_is_dropped(spark):
     packed = packing.pack(spark.createDataFrame([(1, 7)], "doc_id bigint, n_tokens bigint"), caps)
     assert packed.select("pack_id").distinct().count() == 1100
     assert packing.fill_report(packed, caps).count() == 1100
+
+
+def test_shards_stay_bounded_whatever_the_fill(spark, tmp_path):
+    """Items of 60 % of the capacity, of which no two fit together: no task ever sees more than a shard."""
+    from teleloom.plans.storage import shared_dir
+
+    counts = spark.createDataFrame([(i % 500, 60) for i in range(1500)] + [(7, 60)] * 500 + [(None, 60)], "doc_id bigint, n_tokens bigint")  # one id holds a quarter
+    caps = spark.createDataFrame([(1, 100)], "pack_id int, capacity_tokens int")
+    shared_dir(spark)
+    seen, filler = [], packing._filler
+
+    def watched(tag, keep):
+        fill, path = filler(tag, keep), str(tmp_path)
+
+        def run(df):
+            import uuid
+
+            with open(f"{path}/{tag}-{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(df)))
+            return fill(df)
+
+        return run
+
+    packing._filler = watched
+    try:
+        out = packing.pack(counts, caps, shard=100)
+        assert out.count() == 2001 and out.select("bin").distinct().count() == 2001
+    finally:
+        packing._filler = filler
+    seen = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert seen and max(seen) <= 100
+
+
+def test_violations_are_told(spark):
+    counts = spark.createDataFrame([(1, 7), (2, 25), (3, 9)], "doc_id bigint, n_tokens bigint")
+    caps = spark.createDataFrame([(1, 10), (2, 0)], "pack_id int, capacity_tokens int")
+    right = packing.pack(counts, caps)
+    assert [tuple(r) for r in packing.violations(right, counts, caps).collect()] == [(1, 0, 0, 0)]
+    wrong = spark.createDataFrame([(1, "a", 1, 0, 7), (1, "a", 3, 0, 5), (1, "b", 3, 5, 4), (1, "c", 2, 0, 10)], "pack_id int, bin string, doc_id bigint, start bigint, n_tokens bigint")
+    assert [tuple(r) for r in packing.violations(wrong, counts, caps).collect()] == [(1, 1, 1, 1)]
+    assert [tuple(r) for r in packing.violations(right.limit(0), counts.limit(0), caps).collect()] == [(1, 0, 0, 0)]

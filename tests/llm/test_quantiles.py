@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from teleloom.llm.quantiles import Summary, merge_summaries, percentiles, summaries
+from teleloom.llm.quantiles import Summary, buffer_size, merge_summaries, percentiles, summaries, within_bound
 
 QS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
 
@@ -72,3 +72,46 @@ def test_doubles_and_empty_tables(spark):
     r = percentiles(merge_summaries(summaries(df, ["s"], "v"), ["s"]), ["s"], {"p50": 0.5}).collect()
     assert [(x["n"], x["p50"]) for x in r] == [(2, 1.5)]
     assert percentiles(merge_summaries(summaries(df.limit(0), ["s"], "v"), ["s"]), ["s"], {"p50": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["stream", "pairs", "one by one", "uneven"])
+def test_error_known_beforehand(shape):
+    rng, n, k = np.random.default_rng(4), 60_000, 64
+    v = rng.permutation(n).astype(float)
+    cuts = {"stream": [], "pairs": np.arange(1000, n, 1000), "one by one": np.arange(64, n, 64), "uneven": np.sort(rng.integers(0, n, 60))}[shape]
+    total = Summary(k, 4)
+    for p in np.split(v, cuts):
+        s = Summary(k, 4)
+        s.add(p)
+        total.merge(s)
+    check(total, v)
+    assert total.error <= (np.log2(n / k) + 2) * n / (2 * k) and len(total.buffers) <= max(4, np.log2(n / k) + 1)
+
+
+def test_buffer_size():
+    for error, most in ((0.01, 10**6), (0.001, 10**12), (0.5, 10)):
+        k = buffer_size(error, most)
+        assert k >= most or (np.log2(most / k) + 2) / (2 * k) <= error
+        assert k == 1 or (np.log2(most / (k // 2)) + 2) / k > error
+
+
+def test_one_set_of_summaries_gives_one_result(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([("a", int(x)) for x in rng.integers(0, 10**9, 20_000)], "s string, v bigint").repartition(16)
+    from teleloom.plans.storage import Workspace
+
+    parts = Workspace(spark, "test").put("parts", summaries(df, ["s"], "v", k=64, b=4))
+    got = set()
+    for n in (1, 5, 16):
+        for seed in (1, 2):
+            m = merge_summaries(parts.repartition(n, F.rand(seed)), ["s"], k=64, b=4)
+            got |= {tuple(r) for r in percentiles(m, ["s"], {"p50": 0.5, "p99": 0.99}, k=64, b=4).collect()}
+    assert len(got) == 1 and next(iter(got))[2] > 0
+
+
+def test_within_bound_counts_ranks(spark):
+    df = spark.createDataFrame([("a", i) for i in range(1, 101)] + [(None, 5)], "s string, v bigint")
+    right = spark.createDataFrame([("a", 100, 2, 52, 99), (None, 1, 0, 5, 5)], "s string, n bigint, rank_error bigint, p50 bigint, p99 bigint")
+    qs = {"p50": 0.5, "p99": 0.99}
+    assert {r["s"]: (r["n"], r["p50"], r["p99"]) for r in within_bound(df, ["s"], "v", right, qs).collect()} == {"a": (100, True, True), None: (1, True, True)}
+    assert within_bound(df, ["s"], "v", right.withColumn("p50", F.lit(53).cast("bigint")), qs).filter("s = 'a'").first()["p50"] is False
