@@ -73,10 +73,10 @@ def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans with set ids as messages: key, arrival_seq, part (day of arrival), batch_seq."""
+    """Spans with set ids as messages: all their columns, key and part (day of arrival)."""
     t, s = normal_id("trace_id"), normal_id("span_id")
-    rows = table(spark, sf_dir, "spans").select(t.alias("t"), s.alias("s"), "arrival_seq", "batch_seq", F.coalesce(F.date_format("received_at", "yyyy-MM-dd"), F.lit("none")).alias("part"))
-    return rows.filter("t <> '' and s <> ''").select(pack_ids(F.col("t"), F.col("s")).alias("key"), "arrival_seq", "part", "batch_seq")
+    rows = table(spark, sf_dir, "spans").withColumns({"trace_id": t, "span_id": s, "part": F.coalesce(F.date_format("received_at", "yyyy-MM-dd"), F.lit("none"))})
+    return rows.filter("trace_id <> '' and span_id <> ''").withColumn("key", pack_ids(F.col("trace_id"), F.col("span_id")))
 
 
 def span_store(spark: SparkSession, sf_dir: str, batches: int = 3) -> DedupStore:
@@ -85,12 +85,12 @@ def span_store(spark: SparkSession, sf_dir: str, batches: int = 3) -> DedupStore
     lo, hi = table(spark, sf_dir, "spans").agg(F.min("batch_seq"), F.max("batch_seq")).first()
     store = DedupStore(spark, Workspace(spark, "dedup").root)
     if lo is None:
-        store.merge(rows.drop("batch_seq"))
+        store.merge(rows)
         return store
     cuts = [lo + (hi - lo + 1) * i // batches for i in range(batches + 1)]
     for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
         part = (F.col("batch_seq") >= a) & (F.col("batch_seq") < b)
-        store.merge(rows.filter(part | F.col("batch_seq").isNull() if i == 0 else part).drop("batch_seq"))
+        store.merge(rows.filter(part | F.col("batch_seq").isNull() if i == 0 else part))
     return store
 
 
@@ -100,8 +100,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans that stay: one whole row per trace_id and span_id, the one that arrived first."""
-    keep = span_store(spark, sf_dir).read().select("arrival_seq")
-    return table(spark, sf_dir, "spans").join(keep, "arrival_seq", "left_semi").select("arrival_seq", normal_id("trace_id").alias("trace_id"), normal_id("span_id").alias("span_id"), "name", "service_name", "start_ns", "duration_ns", "status_code")
+    return span_store(spark, sf_dir).read().select("arrival_seq", "trace_id", "span_id", "name", "service_name", "start_ns", "duration_ns", "status_code")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_grid, p4_found, p4_periods, p5_found, p5_spans, p5_events, p5_rejected, p6_found, p6_reasons, p7_found, p7_winners)}

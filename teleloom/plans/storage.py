@@ -6,6 +6,7 @@ local (tests, a laptop) one is made under the system's temporary folder and set.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -39,6 +40,43 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, p = _filesystem(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def create_if_absent(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Creates a small file unless there is one; false if there is. Of several writers one succeeds.
+
+    Elsewhere than on a local disk this rests on the file system refusing to create an existing file (as HDFS does);
+    there a file may be incomplete if its writer dies, which readers must be able to tell.
+    """
+    fs, p = _filesystem(spark, path)
+    local = p.toUri().getPath() if (p.toUri().getScheme() or fs.getUri().getScheme()) == "file" else None
+    if local is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        part = f"{os.path.dirname(local)}/.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(data)
+        try:
+            os.link(part, local)  # atomic, and fails where there is a file
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(part)
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    out.write(bytearray(data))
+    out.close()
+    return True
+
+
 class Workspace:
     """A folder of intermediate tables of one run.
 

@@ -471,3 +471,81 @@ def test_an_unfinished_merge_changes_nothing(spark):
     store._commit = commit
     store.merge(spark.createDataFrame([("a", 0, "x"), ("b", 2, "x")], one.schema))  # what the dead run left behind is overwritten
     assert rows(store.read(), "key", "arrival_seq") == [("a", 0), ("b", 2)]
+
+
+MESSAGE = "key string, arrival_seq bigint, part string"
+
+
+def test_a_batch_reads_only_the_buckets_it_touches(spark):
+    store = DedupStore(spark, Workspace(spark, "test").root, buckets=64)
+    for k in range(3):
+        store.merge(spark.createDataFrame([(f"k{i}", i, "x") for i in range(k * 500, k * 500 + 500)], MESSAGE))
+    m = store.manifest()
+    assert sum(r["rows"] for r in m["index"]) == 1500 and len(m["index"]) <= 2
+    loaded, load = [], store._load
+    store._load = lambda folders: (loaded.extend(folders), load(folders))[1]
+    store.merge(spark.createDataFrame([("k7", 9000, "x"), ("k8", -1, "x"), ("new", 9001, "y")], MESSAGE))
+    touched = {f for f in loaded if f.startswith(tuple(r["folder"] for r in m["index"]))}
+    assert len(touched) <= 3 * len(m["index"])
+    assert store.read().count() == 1501 and sorted(r[0] for r in store.losers().collect()) == [8, 9000]
+
+
+def test_of_two_writers_one_wins_and_the_other_can_try_again(spark):
+    root = Workspace(spark, "test").root
+    a, b = DedupStore(spark, root), DedupStore(spark, root)
+    a.merge(spark.createDataFrame([("x", 5, "p")], MESSAGE))
+    commit = a._commit
+
+    def late(m):  # the other writer commits in between
+        b.merge(spark.createDataFrame([("y", 6, "p"), ("x", 3, "q")], MESSAGE))
+        commit(m)
+
+    a._commit = late
+    mine = spark.createDataFrame([("x", 4, "p"), ("z", 7, "r")], MESSAGE)
+    with pytest.raises(RuntimeError):
+        a.merge(mine)
+    assert rows(a.read(), "key", "arrival_seq") == [("x", 3), ("y", 6)]
+    a._commit = commit
+    a.merge(mine)
+    assert rows(b.read(), "key", "arrival_seq") == [("x", 3), ("y", 6), ("z", 7)]
+    assert sorted(r[0] for r in a.losers().collect()) == [4, 5]
+    assert a.vacuum() and rows(a.read(), "key", "arrival_seq") == [("x", 3), ("y", 6), ("z", 7)] and a.vacuum() == []
+
+
+def test_a_store_of_nothing(spark):
+    store = DedupStore(spark, Workspace(spark, "test").root)
+    store.merge(spark.createDataFrame([(None, 1, "p")], MESSAGE))
+    assert store.read().columns == ["key", "arrival_seq", "part"] and store.read().count() == 0 and store.losers().count() == 0
+
+
+def test_a_manifest_cut_off_is_no_version(spark):
+    from teleloom.plans.storage import create_if_absent
+
+    store = DedupStore(spark, Workspace(spark, "test").root)
+    store.merge(spark.createDataFrame([("x", 5, "p")], MESSAGE))
+    assert create_if_absent(spark, f"{store.root}/manifest-00000002.json", b'{"version": 2, "part')
+    assert not create_if_absent(spark, f"{store.root}/manifest-00000002.json", b"{}")
+    assert rows(store.read(), "key") == [("x",)]
+    store.merge(spark.createDataFrame([("x", 6, "p"), ("y", 7, "p")], MESSAGE))
+    assert store.manifest()["version"] == 3 and rows(store.read(), "key", "arrival_seq") == [("x", 5), ("y", 7)]
+
+
+def test_parallel_writers_lose_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = Workspace(spark, "test").root
+
+    def write(k):
+        store, batch = DedupStore(spark, root), spark.createDataFrame([("hot", 100 - k, "p"), (f"k{k}", 1000 + k, f"p{k % 2}")], MESSAGE)
+        for _ in range(10):
+            try:
+                return store.merge(batch)
+            except RuntimeError:
+                continue
+        raise AssertionError("no turn")
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    store = DedupStore(spark, root)
+    assert rows(store.read(), "key", "arrival_seq") == [("hot", 98), ("k0", 1000), ("k1", 1001), ("k2", 1002)]
+    assert sorted(r[0] for r in store.losers().collect()) == [99, 100]
