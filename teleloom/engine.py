@@ -166,7 +166,8 @@ class Tables:
         return metrics.metric_points(canonical.raw_points(self._read("metric_points")))
 
     def metrics(self) -> DataFrame:
-        return metrics.merge(canonical.raw_points(self._read("metric_points")), self.points())
+        raw = canonical.raw_points(self._read("metric_points"))
+        return metrics.merge(raw, metrics.metric_points(raw, carry=metrics.HEAD))
 
     def logs(self) -> DataFrame:
         return canonical.logs(self._read("logs"))

@@ -52,17 +52,46 @@ def _expired(ttl_ns: int | None) -> Column:
     return F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros(F.col("prev_received_at").cast("timestamp")) > ttl_ns // 1000, F.lit(False))
 
 
+def classified(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """Raw points with ``_how`` they are shown: ``pass`` (as they are), ``number`` or ``distribution`` (as the delta from
+    the one before in their series). What is not shown is left out: non-finite numbers, distributions without a count
+    where it is needed and, with ``strict``, with a non-finite sum."""
+    kind, cumulative = F.col("metric_type"), F.col("temporality") == "Cumulative"
+    v = F.coalesce("value", F.lit(0.0))
+    number = kind.isin("Gauge", "Sum") & is_finite(v)
+    dist = is_distribution()
+    if strict:
+        dist = dist & (F.col("sum").isNull() | is_finite(F.col("sum")))
+    counted = F.col("count").isNotNull() & ~F.isnan("count")
+    how = (F.when(number & (kind == "Sum") & cumulative & F.col("is_monotonic"), "number").when(number, "pass")
+           .when(dist & (cumulative | (kind == "Summary")), F.when(counted, "distribution")).when(dist, "pass"))
+    return raw.withColumns({"_how": how, "value": F.when(kind.isin("Gauge", "Sum"), v).otherwise(F.col("value"))}).filter("_how is not null")
+
+
+def _deltas(known: DataFrame, ttl_ns: int | None, carry: list[str]) -> DataFrame:
+    """Deltas of points that ``classified`` does not pass, numbers and distributions in one go."""
+    x = lag_by_key(known, [*SERIES, "_how"], "arrival_seq", ["value", "count", "sum", "received_at"])
+    number = F.col("_how") == "number"
+    n, s = F.col("count") - F.col("prev_count"), F.col("sum") - F.col("prev_sum")
+    ok = F.when(number, F.col("value") >= F.col("prev_value")).otherwise(F.col("count") >= F.col("prev_count")) & ~_expired(ttl_ns)
+    none = F.lit(None).cast("double")
+    new = {"value": F.when(number, F.col("value") - F.col("prev_value")).otherwise(window_mean(n, s)), "count": F.when(number, none).otherwise(n), "sum": F.when(number, none).otherwise(s), "min": F.when(number, none).otherwise(F.col("min")), "max": F.when(number, none).otherwise(F.col("max"))}
+    return x.filter(ok).select(*[new[c].alias(c) if c in new else F.col(c) for c in [*POINT, *carry]])
+
+
+def _passed(known: DataFrame, carry: list[str]) -> DataFrame:
+    dist = is_distribution()
+    new = {"value": F.when(dist, window_mean(F.col("count"), F.col("sum"))).otherwise(F.col("value"))} | {c: F.when(dist, F.col(c)) for c in ("count", "sum", "min", "max")}
+    return known.select(*[new[c].alias(c) if c in new else F.col(c) for c in [*POINT, *carry]])
+
+
 def number_deltas(raw: DataFrame, ttl_ns: int | None = None) -> DataFrame:
     """Cumulative monotonic Sums as deltas.
 
     The first point of a series, one whose value is below the one before (a reset) and, with ``ttl_ns``, one after an
     idle time give no row and become the baseline; an equal value gives 0.
     """
-    c = numbers(raw).filter("metric_type = 'Sum' and temporality = 'Cumulative' and is_monotonic")
-    x = lag_by_key(c, SERIES, "arrival_seq", ["value", "received_at"])
-    ok = F.col("prev_value").isNotNull() & (F.col("value") >= F.col("prev_value")) & ~_expired(ttl_ns)
-    none = F.lit(None).cast("double")
-    return x.filter(ok).withColumns({"value": F.col("value") - F.col("prev_value"), "count": none, "sum": none, "min": none, "max": none}).select(*POINT)
+    return _deltas(classified(raw).filter("_how = 'number'"), ttl_ns, [])
 
 
 def distribution_deltas(raw: DataFrame, ttl_ns: int | None = None, strict: bool = True) -> DataFrame:
@@ -71,43 +100,49 @@ def distribution_deltas(raw: DataFrame, ttl_ns: int | None = None, strict: bool
     A reset is told by the count alone; the delta of the sum may be negative, and is null where either sum is
     missing. min and max pass through; value is the window's mean. ``strict`` leaves points with a non-finite sum out.
     """
-    d = raw.filter(is_distribution() & ((F.col("temporality") == "Cumulative") | (F.col("metric_type") == "Summary"))).filter("count is not null and not isnan(count)")
-    if strict:
-        d = d.filter(F.col("sum").isNull() | is_finite(F.col("sum")))
-    x = lag_by_key(d, SERIES, "arrival_seq", ["count", "sum", "received_at"])
-    ok = F.col("prev_count").isNotNull() & (F.col("count") >= F.col("prev_count")) & ~_expired(ttl_ns)
-    n, s = F.col("count") - F.col("prev_count"), F.col("sum") - F.col("prev_sum")
-    return x.filter(ok).withColumns({"value": window_mean(n, s), "_n": n, "_s": s}).drop("count", "sum").withColumnsRenamed({"_n": "count", "_s": "sum"}).select(*POINT)
+    return _deltas(classified(raw, strict).filter("_how = 'distribution'"), ttl_ns, [])
 
 
 def passthrough(raw: DataFrame, strict: bool = True) -> DataFrame:
     """W5 and the other half of W3 and W4: gauges, non-cumulative or non-monotonic sums, delta histograms."""
-    none = F.lit(None).cast("double")
-    n = numbers(raw).filter("not (metric_type = 'Sum' and temporality = 'Cumulative' and is_monotonic)").withColumns({"count": none, "sum": none, "min": none, "max": none})
-    d = raw.filter(is_distribution() & (F.col("temporality") != "Cumulative") & (F.col("metric_type") != "Summary"))
-    if strict:
-        d = d.filter(F.col("sum").isNull() | is_finite(F.col("sum")))
-    return n.select(*POINT).unionByName(d.withColumn("value", window_mean(F.col("count"), F.col("sum"))).select(*POINT))
+    return _passed(classified(raw, strict).filter("_how = 'pass'"), [])
 
 
-def metric_points(raw: DataFrame, ttl_ns: int | None = None) -> DataFrame:
-    """All points as the reference shows them."""
-    return passthrough(raw).unionByName(number_deltas(raw, ttl_ns)).unionByName(distribution_deltas(raw, ttl_ns))
+def metric_points(raw: DataFrame, ttl_ns: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """All points as the reference shows them, with further columns of the raw points to ``carry``."""
+    known = classified(raw)
+    return _passed(known.filter("_how = 'pass'"), carry or []).unionByName(_deltas(known.filter("_how <> 'pass'"), ttl_ns, carry or []))
+
+
+#: What a metric takes over from its points.
+HEAD = ["description", "unit", "metric_type", "resource"]
 
 
 def merge(raw: DataFrame, points: DataFrame) -> DataFrame:
     """One row per (service_name, metric_name) that has points.
 
     Description, unit, type and resource are the first seen among rows that gave a point, received_at the last; point_count counts all points
-    (``last_points`` bounds them).
+    (``last_points`` bounds them). Points that carry HEAD are not joined to the raw ones.
     """
-    shown = points.select(F.col("arrival_seq"), F.col("received_at").alias("_r"))
-    head = raw.select(*METRIC, "description", "unit", "metric_type", "resource", "arrival_seq").join(shown, "arrival_seq")
+    head = points
+    if not set(HEAD) <= set(points.columns):
+        head = raw.select(*METRIC, *HEAD, "arrival_seq").join(points.select("arrival_seq", "received_at"), "arrival_seq")
     return head.groupBy(*METRIC).agg(
-        *[F.min_by(c, "arrival_seq").alias(c) for c in ("description", "unit", "metric_type", "resource")], F.max("_r").alias("received_at"),
+        *[F.min_by(c, "arrival_seq").alias(c) for c in HEAD], F.max("received_at").alias("received_at"),
         F.count(F.lit(1)).alias("point_count"), F.min("arrival_seq").alias("first_seq"))
 
 
+def last_observed(raw: DataFrame, ttl_ns: int | None = None, cap: int = 50_000) -> DataFrame:
+    """The raw points that the next delta of each series is taken from: its last one, unless it is older
+    than ``ttl_ns`` before the newest of all; of more than ``cap`` series those seen last."""
+    last = classified(raw).filter("_how <> 'pass'").select(*raw.columns, "_how")
+    last = last.groupBy(*SERIES, "_how").agg(F.max_by(F.struct(*raw.columns), "arrival_seq").alias("x")).select("x.*")
+    if ttl_ns is not None:
+        now = raw.agg(F.max(F.unix_micros(F.col("received_at").cast("timestamp"))).alias("_now"))
+        last = last.join(F.broadcast(now), F.unix_micros(F.col("received_at").cast("timestamp")) >= F.col("_now") - ttl_ns // 1000, "left_semi")
+    return last.orderBy(F.desc("arrival_seq")).limit(cap)
+
+
 def last_points(points: DataFrame, n: int = 1000) -> DataFrame:
     """The ``n`` last arrived points of each metric, all its series together.
 

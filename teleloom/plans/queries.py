@@ -45,7 +45,8 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.merge(_raw(spark, d), _points(spark, d))
+    raw = _raw(spark, d)
+    return metrics.merge(raw, metrics.metric_points(raw, carry=metrics.HEAD))
 
 
 def _flat_trace(t: DataFrame) -> DataFrame:
