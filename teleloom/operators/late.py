@@ -7,9 +7,11 @@ once more. Records that arrive after their period is closed are refused and coun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from teleloom.plans.storage import create_if_absent, delete, subfolders
+
 PERIOD_NS = 600 * 10**9
 LATENESS_NS = 7200 * 10**9
 
@@ -54,3 +56,47 @@ def period_totals(partial: DataFrame, as_of_ns: int | None = None, period_ns: in
         F.sum("accepted").alias("n"), F.sum(F.when(late, F.col("accepted")).otherwise(0)).alias("late"), F.sum("errors").alias("errors"), F.sum("refused").alias("refused"))
     closed = F.lit(None).cast("boolean") if as_of_ns is None else F.col("period_ns") + period_ns + lateness_ns <= as_of_ns
     return out.withColumn("closed", closed)
+
+
+PARTIAL = "service_name string, period_ns bigint, arrival_period_ns bigint, batch bigint, accepted bigint, refused bigint, errors bigint"
+
+
+class LateStore:
+    """Partial aggregates in a folder, added batch by batch and added up on reading.
+
+    A batch has a folder of its own, which a new try overwrites: every batch counts once. ``compact`` adds up all
+    batches up to one; a marker that is created last makes the sum valid in place of these batches, so that a reader
+    sees either. Batches are added in rising order, by one writer.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, period_ns: int = PERIOD_NS, lateness_ns: int = LATENESS_NS):
+        self.spark, self.root, self.period_ns, self.lateness_ns = spark, root, period_ns, lateness_ns
+
+    def add(self, logs: DataFrame, batch: int) -> None:
+        """Adds the partials of a batch; records of closed periods are refused and counted. One file: partials are few."""
+        if batch <= self._summed():
+            return  # tried again after it was added up
+        partials(logs, self.period_ns, self.lateness_ns, F.lit(batch)).write.mode("overwrite").parquet(f"{self.root}/b={batch}")
+
+    def _summed(self) -> int:
+        return max([int(n[5:]) for n in subfolders(self.spark, self.root) if n.startswith("done-")], default=-1)
+
+    def _batches(self) -> list[int]:
+        return sorted(int(n[2:]) for n in subfolders(self.spark, self.root) if n.startswith("b="))
+
+    def read(self) -> DataFrame:
+        """The partials of all batches; an empty table if there are none."""
+        upto = self._summed()
+        paths = [f"{self.root}/b={b}" for b in self._batches() if b > upto] + ([f"{self.root}/sum-{upto}"] if upto >= 0 else [])
+        return self.spark.read.schema(PARTIAL).parquet(*paths) if paths else self.spark.createDataFrame([], PARTIAL)
+
+    def compact(self) -> None:
+        """Adds up all batches there are, and deletes what the sum stands for."""
+        old, batches = self._summed(), self._batches()
+        new = [b for b in batches if b > old]
+        if not new:
+            return
+        merge_partials(self.read()).withColumn("batch", F.lit(new[-1]).cast("bigint")).select(*[c.split()[0] for c in PARTIAL.split(", ")]).write.mode("overwrite").parquet(f"{self.root}/sum-{new[-1]}")
+        create_if_absent(self.spark, f"{self.root}/done-{new[-1]}", b"")
+        for name in [f"b={b}" for b in batches] + ([f"done-{old}", f"sum-{old}"] if old >= 0 else []):
+            delete(self.spark, f"{self.root}/{name}")

@@ -117,3 +117,5 @@ SELECT x.arrival_seq, x.t AS trace_id, x.s AS span_id, n.name, n.service_name, n
   SELECT arrival_seq, t, s, row_number() OVER (PARTITION BY t, s ORDER BY arrival_seq) AS rn FROM ids WHERE t <> '' AND s <> '') AS x
 JOIN spans AS n ON n.arrival_seq = x.arrival_seq WHERE rn = 1""",
 }
+
+SQL["p4_stream"] = SQL["p4_periods"]

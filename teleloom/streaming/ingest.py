@@ -159,14 +159,18 @@ def delta_stream(points: DataFrame, ttl_ms: int = 600_000, generation: int = 0)
     return c.select(*metrics.SERIES, "arrival_seq", "value").groupBy(*metrics.SERIES).applyInPandasWithState(step, DELTA, "generation int, value double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def late_stream(logs: DataFrame, store: str, checkpoint: str):
-    """Problem 4 as a stream: each batch of logs appends its partial aggregates; reading the folder adds them up."""
-    from teleloom.operators.late import partials
-
-    def add(df: DataFrame, batch: int) -> None:
-        partials(df, batch=F.lit(batch)).write.mode("overwrite").parquet(f"{store}/b={batch}")
-
-    return logs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder, one file or a folder of files, as a stream of its files."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    fs, p = _filesystem(spark, path)
+    stream = spark.readStream.schema(schema)
+    return stream.parquet(path) if fs.getFileStatus(p).isDirectory() else stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def late_stream(logs: DataFrame, store, checkpoint: str):
+    """Problem 4 as a stream: each batch of logs adds its partial aggregates to a ``late.LateStore``."""
+    return logs.writeStream.foreachBatch(lambda df, batch: store.add(df, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def progress_points(query, service: str = "teleloom") -> list[dict]:

@@ -166,6 +166,28 @@ def test_batches_of_logs_add_up(spark):
     assert rows(late.period_totals(parts), *cols) == rows(late.period_totals(late.partials(df)), *cols)
 
 
+def test_late_store_equals_one_batch(spark):
+    rng = random.Random(6)
+    data = [{"ts_ns": rng.randrange(1, 10**13), "observed_ts_ns": rng.randrange(1, 10**13), "service_name": rng.choice("ab"), "severity_number": rng.choice([None, 9, 17])} for _ in range(400)]
+    df, cols = frame(spark, LOG, data), ("service_name", "period_ns", "n", "late", "errors", "refused")
+    want = rows(late.period_totals(late.partials(df)), *cols)
+    store = late.LateStore(spark, Workspace(spark, "test").root)
+    assert store.read().count() == 0 and rows(late.corrections(store.read())) == []
+    part = lambda a, b: df.filter(f"arrival_seq > {a} and arrival_seq <= {b}")
+    store.add(part(0, 100), 0)
+    store.add(part(100, 200), 1)
+    store.add(part(100, 200), 1)  # tried again
+    before = rows(late.period_totals(store.read()), *cols)
+    store.compact()
+    store.compact()
+    store.add(part(0, 100), 0)  # tried again after it was added up
+    assert rows(late.period_totals(store.read()), *cols) == before
+    store.add(part(200, 400), 2)
+    assert rows(late.period_totals(store.read()), *cols) == want
+    store.compact()
+    assert rows(late.period_totals(store.read()), *cols) == want and rows(late.corrections(store.read()), "service_name", "period_ns", "arrival_period_ns") == rows(late.corrections(late.partials(df)), "service_name", "period_ns", "arrival_period_ns")
+
+
 # nested records
 
 
