@@ -202,6 +202,16 @@ def _pick(row: dict, fields: list[Selection], kind: str) -> dict:
     return {f.alias: (kind if f.name == "__typename" else row[f.name]) for f in fields}
 
 
+#: The columns a field of a span is made of, beside its keys.
+_SPAN_COLUMNS = {"name": ["name"], "kind": ["kind"], "serviceName": ["service_name"], "statusCode": ["status_code"], "statusMessage": ["status_message"], "events": ["events"], "attributes": ["attributes"], "resource": ["resource"],
+                 "startTime": ["start_ns"], "endTime": ["start_ns", "end_ns"], "durationMs": ["duration_ns"]}
+
+
+def _span_columns(fields: list[Selection]) -> list[str]:
+    """P10: the columns that the asked fields of spans need; the plan reads no others."""
+    return list(dict.fromkeys(["trace_id", "span_id", "parent_span_id", "arrival_seq", *[c for f in fields for c in _SPAN_COLUMNS.get(f.name, [])]]))
+
+
 class _Reader:
     """Runs the plans of one root field. Rows that reach the driver are those of the page that was asked for."""
 
@@ -239,7 +249,13 @@ class _Reader:
         logs: dict[str, list] = defaultdict(list)
         edges = [f for f in fields if f.name in ("spans", "rootSpan")]
         if edges and ids:
-            for r in self._of(self.all_spans, "trace_id", ids).orderBy("arrival_seq").collect():
+            found = self.all_spans.select(*_span_columns([g for f in edges for g in f.fields]))
+            if any(f.name == "spans" for f in edges):
+                found = self._of(found, "trace_id", ids)
+            else:  # the roots are known: one span a trace
+                roots = self.e.spark.createDataFrame(sorted((r["trace_id"], r["root_span_id"]) for r in rows if r["root_span_id"] is not None), "trace_id string, span_id string")
+                found = found.filter("parent_span_id = ''").join(F.broadcast(roots), ["trace_id", "span_id"], "left_semi")
+            for r in found.orderBy("arrival_seq").collect():
                 spans[r["trace_id"]].append(r.asDict(recursive=True))
         made: dict[str, dict[str, list[dict]]] = {}
         for f in edges:
@@ -269,7 +285,7 @@ class _Reader:
             elif f.name == "parent":
                 want = {(r["trace_id"], r["parent_span_id"]) for r in rows if r["parent_span_id"]}
                 k = self.e.spark.createDataFrame(sorted(want), "trace_id string, span_id string")
-                have = [r.asDict(recursive=True) for r in self.all_spans.join(k, ["trace_id", "span_id"], "left_semi").collect()] if want else []
+                have = [r.asDict(recursive=True) for r in self.all_spans.select(*_span_columns(f.fields)).join(k, ["trace_id", "span_id"], "left_semi").collect()] if want else []
                 extra[f.alias] = dict(zip(((r["trace_id"], r["span_id"]) for r in have), self._spans(have, f.fields)))
         plain = {"traceId": "trace_id", "spanId": "span_id", "parentSpanId": "parent_span_id", "name": "name", "kind": "kind", "serviceName": "service_name", "statusCode": "status_code", "statusMessage": "status_message"}
 
@@ -317,7 +333,9 @@ class _Reader:
         return [{f.alias: one(r, f) for f in fields} for r in rows]
 
     def logs(self, df: DataFrame, fields: list[Selection]) -> list[dict]:
-        return self._logs([r.asDict(recursive=True) for r in df.collect()], fields)
+        asked = {f.name for f in fields}
+        unused = [c for c in ("attributes", "resource", "body") if c not in asked]
+        return self._logs([r.asDict(recursive=True) for r in df.drop(*unused).collect()], fields)
 
     def _logs(self, rows: list[dict], fields: list[Selection]) -> list[dict]:
         ids = {r["trace_id"] for r in rows} - {""}
@@ -329,7 +347,7 @@ class _Reader:
             elif f.name == "span":
                 want = {(r["trace_id"], r["span_id"]) for r in rows if r["trace_id"] and r["span_id"]}
                 k = self.e.spark.createDataFrame(sorted(want), "trace_id string, span_id string")
-                have = [r.asDict(recursive=True) for r in self.all_spans.join(k, ["trace_id", "span_id"], "left_semi").collect()] if want else []
+                have = [r.asDict(recursive=True) for r in self.all_spans.select(*_span_columns(f.fields)).join(k, ["trace_id", "span_id"], "left_semi").collect()] if want else []
                 extra[f.alias] = dict(zip(((r["trace_id"], r["span_id"]) for r in have), self._spans(have, f.fields)))
         plain = {"traceId": "trace_id", "spanId": "span_id", "severityNumber": "severity_number", "severityText": "severity_text", "body": "body", "serviceName": "service_name"}
 

@@ -1,13 +1,17 @@
 """OTLP/JSON export requests to flat signals, JVM-side.
 
 A request is one JSON object with resourceSpans, resourceMetrics or resourceLogs. Attribute values are read as their
-JSON text and converted by built-in expressions, nested values down to ``DEPTH`` levels; deeper ones stay as JSON
-text. Scope attributes, span links, exemplars and buckets are not kept. Records are numbered in their order within a
+JSON text and converted by built-in expressions, nested values down to ``DEPTH`` levels; requests with deeper ones,
+which are rare, first have these values converted in Python (``settled``), whatever their depth. Scope attributes, span links, exemplars and buckets are not kept. Records are numbered in their order within a
 request: arrival_seq is batch_seq times 2^24 plus that number.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +43,7 @@ def _quoted(c: Column) -> Column:
     return F.substring(j, F.lit(2), F.length(j) - 2)
 
 
-_ANY = "stringValue string, boolValue string, intValue string, doubleValue string, bytesValue string, arrayValue struct<values:array<string>>, kvlistValue struct<values:array<struct<key:string,value:string>>>"
+_ANY = "jsonValue string, stringValue string, boolValue string, intValue string, doubleValue string, bytesValue string, arrayValue struct<values:array<string>>, kvlistValue struct<values:array<struct<key:string,value:string>>>"
 
 
 def any_value(raw: Column, depth: int = DEPTH) -> Column:
@@ -47,7 +51,7 @@ def any_value(raw: Column, depth: int = DEPTH) -> Column:
     v = F.from_json(raw, _ANY)
     low = F.lower(v["doubleValue"])
     number = F.when(low == "nan", F.lit('"NaN"')).when(low.isin("infinity", "+infinity", "inf", "+inf"), F.lit('"+Inf"')).when(low.isin("-infinity", "-inf"), F.lit('"-Inf"')).otherwise(v["doubleValue"])
-    out = F.when(v["stringValue"].isNotNull(), _quoted(v["stringValue"])).when(v["intValue"].isNotNull(), v["intValue"]).when(v["boolValue"].isNotNull(), F.lower(v["boolValue"])).when(v["doubleValue"].isNotNull(), number).when(v["bytesValue"].isNotNull(), _quoted(v["bytesValue"]))
+    out = F.when(v["jsonValue"].isNotNull(), v["jsonValue"]).when(v["stringValue"].isNotNull(), _quoted(v["stringValue"])).when(v["intValue"].isNotNull(), v["intValue"]).when(v["boolValue"].isNotNull(), F.lower(v["boolValue"])).when(v["doubleValue"].isNotNull(), number).when(v["bytesValue"].isNotNull(), _quoted(v["bytesValue"]))
     if depth:
         items = F.transform(v["arrayValue"]["values"], lambda x: any_value(x, depth - 1))
         pairs = F.array_sort(F.transform(v["kvlistValue"]["values"], lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.coalesce(any_value(e["value"], depth - 1), F.lit('""')))))
@@ -56,6 +60,89 @@ def any_value(raw: Column, depth: int = DEPTH) -> Column:
     return out.otherwise(F.coalesce(F.when((raw == "{}") | (raw == "null"), F.lit('""')), raw, F.lit('""')))
 
 
+def value_text(v) -> tuple[str, int]:
+    """What ``any_value`` gives for a parsed value of any depth, and how many levels it has."""
+    done: list[tuple[str, int]] = []
+    todo: list[tuple] = [("value", v)]
+    while todo:
+        step, x = todo.pop()
+        if step == "value":
+            x = x if isinstance(x, dict) else {}
+            for k in ("arrayValue", "kvlistValue"):
+                if x.get(k) is not None:
+                    items = x[k].get("values") if isinstance(x[k], dict) else None
+                    items = [e for e in items or [] if k == "arrayValue" or (isinstance(e, dict) and e.get("key") is not None)] if isinstance(items, list) else []
+                    todo.append((k, [e["key"] for e in items] if k == "kvlistValue" else len(items)))
+                    todo.extend(("value", e if k == "arrayValue" else e.get("value")) for e in reversed(items))
+                    break
+            else:
+                done.append((_scalar_text(x), 0))
+            continue
+        n = x if step == "arrayValue" else len(x)
+        parts, done[len(done) - n :] = done[len(done) - n :], []
+        texts = [t for t, _ in parts]
+        text = f"[{','.join(texts)}]" if step == "arrayValue" else "{" + ",".join(sorted(f"{json.dumps(str(k), ensure_ascii=False)}:{t}" for k, t in zip(x, texts))) + "}"
+        done.append((text, 1 + max((d for _, d in parts), default=0)))
+    return done[0]
+
+
+def _scalar_text(x: dict) -> str:
+    if x.get("stringValue") is not None:
+        return json.dumps(x["stringValue"], ensure_ascii=False)
+    if x.get("intValue") is not None:
+        return str(x["intValue"])
+    if x.get("boolValue") is not None:
+        return str(x["boolValue"]).lower()
+    d = x.get("doubleValue")
+    if d is not None:
+        name = {"nan": "NaN", "infinity": "+Inf", "+infinity": "+Inf", "inf": "+Inf", "+inf": "+Inf", "-infinity": "-Inf", "-inf": "-Inf"}.get(str(d).lower())
+        return f'"{name}"' if name else str(d)
+    return json.dumps(x["bytesValue"]) if x.get("bytesValue") is not None else '""'
+
+
+def settle(line: str) -> str:
+    """A request line in which values of more than ``DEPTH`` levels are replaced by their text."""
+    from teleloom.operators.nested import loads
+
+    try:
+        top = loads(line)
+    except ValueError:
+        return line
+    todo = [top]
+    while todo:
+        x = todo.pop()
+        for k, v in x.items() if isinstance(x, dict) else enumerate(x):
+            if k in ("value", "body") and isinstance(v, dict):
+                text, levels = value_text(v)
+                if levels > DEPTH:
+                    x[k] = {"jsonValue": text}
+            elif isinstance(v, (dict, list)):
+                todo.append(v)
+    return json.dumps(top)
+
+
+def settled(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``lines`` with deep values settled; only lines with more nested values than ``DEPTH`` pass through Python."""
+    deep = F.coalesce(F.size(F.regexp_extract_all(column, F.lit('"(arrayValue|kvlistValue)"'))) > DEPTH, F.lit(False))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{column: [settle(t) for t in pdf[column]]})
+
+    return lines.filter(~deep).unionByName(lines.filter(deep).mapInPandas(run, lines.schema))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Requests (batch_seq, received_at and the fields of a request) from numbered lines in ``value``."""
+    return settled(lines).select("batch_seq", "received_at", F.from_json("value", REQUEST).alias("r")).select("batch_seq", "received_at", "r.*")
+
+
+def is_request(line: str) -> Column:
+    """Whether a line can be read as a request: a JSON object."""
+    r = F.from_json(line, REQUEST + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return F.coalesce(r.isNotNull() & r["_bad"].isNull() & F.trim(F.col(line)).startswith("{"), F.lit(False))
+
+
 def attributes(raw: Column) -> Column:
     """A list of key and value as map<string,string>; of a repeated key the last counts; null or unreadable lists are empty."""
     items = F.filter(F.coalesce(F.from_json(raw, "array<struct<key:string,value:string>>"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: e["key"].isNotNull())
@@ -74,8 +161,8 @@ def service_of(resource: Column) -> Column:
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Requests of JSON files, one to a line, numbered by ``batch_seq`` in the order of files and lines; damaged lines are dropped."""
-    df = spark.read.schema(REQUEST + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return numbered(df.filter("_bad is null").drop("_bad"))
+    lines = numbered(spark.read.text(path)).withColumn("received_at", F.current_timestamp())
+    return parsed(lines.filter(is_request("value")))
 
 
 def numbered(requests: DataFrame) -> DataFrame:
