@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEPTH = 3
+DEPTH = 2
 _POINT = "array<struct<timeUnixNano:string,asInt:string,asDouble:string,count:string,sum:string,min:string,max:string,attributes:string>>"
 _KIND = f"struct<dataPoints:{_POINT},aggregationTemporality:string,isMonotonic:boolean>"
 _RES = "resource:struct<attributes:string>"
@@ -38,26 +38,30 @@ def _enum(c: Column, names: list[str], prefix: str) -> Column:
     return out
 
 
-def _quoted(c: Column) -> Column:
-    j = F.to_json(F.array(c))
-    return F.substring(j, F.lit(2), F.length(j) - 2)
+_ANY = "jsonValue string, stringValue string, boolValue string, intValue string, doubleValue string, bytesValue string, arrayValue struct<values:array<string>>, kvlistValue struct<values:array<struct<key:string,value:string>>>"
+_PAIRS = "array<struct<key:string,value:string>>"
 
 
-_ANY = "jsonValue string, stringValue string, boolValue string, intValue string, doubleValue string, bytesValue string, arrayValue struct<values:array<string>>, kvlistValue struct<values:array<struct<key:string,value:string>>>"
+def _with(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _quoted(c: str) -> str:
+    return _with("q", f"to_json(array({c}))", "substr(q, 2, length(q) - 2)")
 
 
-def any_value(raw: Column, depth: int = DEPTH) -> Column:
-    """P5: the JSON of an attribute value: strings quoted, numbers and booleans bare, non-finite numbers as quoted names, an absent value as an empty string."""
-    v = F.from_json(raw, _ANY)
-    low = F.lower(v["doubleValue"])
-    number = F.when(low == "nan", F.lit('"NaN"')).when(low.isin("infinity", "+infinity", "inf", "+inf"), F.lit('"+Inf"')).when(low.isin("-infinity", "-inf"), F.lit('"-Inf"')).otherwise(v["doubleValue"])
-    out = F.when(v["jsonValue"].isNotNull(), v["jsonValue"]).when(v["stringValue"].isNotNull(), _quoted(v["stringValue"])).when(v["intValue"].isNotNull(), v["intValue"]).when(v["boolValue"].isNotNull(), F.lower(v["boolValue"])).when(v["doubleValue"].isNotNull(), number).when(v["bytesValue"].isNotNull(), _quoted(v["bytesValue"]))
+def any_value(raw: str, depth: int = DEPTH) -> str:
+    """P5, as SQL: the JSON of an attribute value: strings quoted, numbers and booleans bare, non-finite numbers as quoted names, an absent value as an empty string."""
+    v, x = f"v{depth}", f"x{depth}"
+    number = f"""CASE WHEN lower({v}.doubleValue) = 'nan' THEN '"NaN"' WHEN lower({v}.doubleValue) IN ('infinity', '+infinity', 'inf', '+inf') THEN '"+Inf"' WHEN lower({v}.doubleValue) IN ('-infinity', '-inf') THEN '"-Inf"' ELSE {v}.doubleValue END"""
+    body = f"""CASE WHEN {v}.jsonValue IS NOT NULL THEN {v}.jsonValue WHEN {v}.stringValue IS NOT NULL THEN {_quoted(f'{v}.stringValue')} WHEN {v}.intValue IS NOT NULL THEN {v}.intValue
+  WHEN {v}.boolValue IS NOT NULL THEN lower({v}.boolValue) WHEN {v}.doubleValue IS NOT NULL THEN {number} WHEN {v}.bytesValue IS NOT NULL THEN {_quoted(f'{v}.bytesValue')}"""
     if depth:
-        items = F.transform(v["arrayValue"]["values"], lambda x: any_value(x, depth - 1))
-        pairs = F.array_sort(F.transform(v["kvlistValue"]["values"], lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.coalesce(any_value(e["value"], depth - 1), F.lit('""')))))
-        out = out.when(v["arrayValue"].isNotNull(), F.concat(F.lit("["), F.coalesce(F.array_join(items, ","), F.lit("")), F.lit("]"))).when(v["kvlistValue"].isNotNull(), F.concat(F.lit("{"), F.coalesce(F.array_join(pairs, ","), F.lit("")), F.lit("}")))
-        return out.otherwise(F.lit('""'))
-    return out.otherwise(F.coalesce(F.when((raw == "{}") | (raw == "null"), F.lit('""')), raw, F.lit('""')))
+        items = f"transform({v}.arrayValue.values, {x} -> {any_value(x, depth - 1)})"
+        pairs = f"array_sort(transform(filter({v}.kvlistValue.values, {x} -> {x}.key IS NOT NULL), {x} -> concat({_quoted(f'{x}.key')}, ':', {any_value(f'{x}.value', depth - 1)})))"
+        body += f" WHEN {v}.arrayValue IS NOT NULL THEN concat('[', coalesce(array_join({items}, ','), ''), ']') WHEN {v}.kvlistValue IS NOT NULL THEN concat('{{', coalesce(array_join({pairs}, ','), ''), '}}')"
+    return _with(v, f"from_json({raw}, '{_ANY}')", body + """ ELSE '""' END""")
 
 
 def value_text(v) -> tuple[str, int]:
@@ -143,10 +147,11 @@ def is_request(line: str) -> Column:
     return F.coalesce(r.isNotNull() & r["_bad"].isNull() & F.trim(F.col(line)).startswith("{"), F.lit(False))
 
 
-def attributes(raw: Column) -> Column:
-    """A list of key and value as map<string,string>; of a repeated key the last counts; null or unreadable lists are empty."""
-    items = F.filter(F.coalesce(F.from_json(raw, "array<struct<key:string,value:string>>"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: e["key"].isNotNull())
-    return F.aggregate(items, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], any_value(e["value"]))))
+def attributes(raw: str) -> str:
+    """As SQL: a list of key and value as map<string,string>; of a repeated key the last counts; null or unreadable lists are empty."""
+    items = f"filter(coalesce(from_json({raw}, '{_PAIRS}'), CAST(array() AS {_PAIRS})), e -> e.key IS NOT NULL)"
+    last = "filter(l, (e, i) -> i = cardinality(l) - array_position(reverse(transform(l, k -> k.key)), e.key))"
+    return _with("l", items, f"map_from_entries(transform({last}, e -> struct(e.key, {any_value('e.value')})))")
 
 
 def text_of(json: Column) -> Column:
@@ -187,7 +192,7 @@ def _records(requests: DataFrame, field: str, scopes: str, inner: str, split=Non
 
     rows = F.flatten(F.transform(F.col(field), lambda r: F.flatten(F.transform(F.coalesce(r[scopes], F.array().cast(types[scopes])), of_scope(r)))))
     e = requests.filter(F.col(field).isNotNull()).select("batch_seq", received, F.posexplode(rows).alias("at", "e"))
-    return e.select("batch_seq", "received_at", (F.shiftleft("batch_seq", 24) + F.col("at")).alias("arrival_seq"), attributes(F.col("e.res")).alias("resource"), F.col("e.x").alias("x"))
+    return e.select("batch_seq", "received_at", (F.shiftleft("batch_seq", 24) + F.col("at")).alias("arrival_seq"), F.expr(attributes("e.res")).alias("resource"), F.col("e.x").alias("x"))
 
 
 def _types() -> list[tuple[str, str]]:
@@ -202,10 +207,11 @@ def _ns(c: str) -> Column:
 def spans(requests: DataFrame) -> DataFrame:
     """P1."""
     r = _records(requests, "resourceSpans", "scopeSpans", "spans")
-    events = F.transform(F.coalesce("x.events", F.array().cast("array<struct<name:string,timeUnixNano:string,attributes:string>>")), lambda e: F.struct(F.coalesce(e["name"], F.lit("")).alias("name"), F.coalesce(e["timeUnixNano"].try_cast("bigint"), F.lit(0)).alias("ts_ns"), attributes(e["attributes"]).alias("attributes")))
+    event = f"named_struct('name', coalesce(v.name, ''), 'ts_ns', coalesce(try_cast(v.timeUnixNano AS bigint), 0L), 'attributes', {attributes('v.attributes')})"
+    events = F.expr(f"transform(coalesce(x.events, CAST(array() AS array<struct<name:string,timeUnixNano:string,attributes:string>>)), v -> {event})")
     return r.select("arrival_seq", "batch_seq", "received_at", F.lower(F.coalesce("x.traceId", F.lit(""))).alias("trace_id"), F.lower(F.coalesce("x.spanId", F.lit(""))).alias("span_id"), F.lower(F.coalesce("x.parentSpanId", F.lit(""))).alias("parent_span_id"),
         F.coalesce("x.name", F.lit("")).alias("name"), _enum(F.col("x.kind"), KINDS, "SPAN_KIND").alias("kind"), service_of(F.col("resource")).alias("service_name"), _ns("x.startTimeUnixNano").alias("start_ns"), _ns("x.endTimeUnixNano").alias("end_ns"),
-        (_ns("x.endTimeUnixNano") - _ns("x.startTimeUnixNano")).alias("duration_ns"), _enum(F.col("x.status.code"), STATUS, "STATUS_CODE").alias("status_code"), F.coalesce("x.status.message", F.lit("")).alias("status_message"), attributes(F.col("x.attributes")).alias("attributes"), events.alias("events"), "resource")
+        (_ns("x.endTimeUnixNano") - _ns("x.startTimeUnixNano")).alias("duration_ns"), _enum(F.col("x.status.code"), STATUS, "STATUS_CODE").alias("status_code"), F.coalesce("x.status.message", F.lit("")).alias("status_message"), F.expr(attributes("x.attributes")).alias("attributes"), events.alias("events"), "resource")
 
 
 #: A metric's field by type.
@@ -228,11 +234,11 @@ def points(requests: DataFrame) -> DataFrame:
     d = lambda c: F.when(~plain, F.col(f"e.p.{c}").try_cast("double")).alias(c)
     return e.select("arrival_seq", "batch_seq", "received_at", service_of(F.col("resource")).alias("service_name"), F.coalesce("e.name", F.lit("")).alias("metric_name"), F.coalesce("e.description", F.lit("")).alias("description"), F.coalesce("e.unit", F.lit("")).alias("unit"),
         F.col("e.type").alias("metric_type"), _enum(F.col("e.t"), TEMPORALITY, "AGGREGATION_TEMPORALITY").alias("temporality"), F.coalesce("e.m", F.lit(False)).alias("is_monotonic"), _ns("e.p.timeUnixNano").alias("ts_ns"), F.when(plain, number).alias("value"), d("count"), d("sum"), d("min"), d("max"),
-        attributes(F.col("e.p.attributes")).alias("attributes"), "resource")
+        F.expr(attributes("e.p.attributes")).alias("attributes"), "resource")
 
 
 def logs(requests: DataFrame) -> DataFrame:
     """The body of any kind as text."""
     r = _records(requests, "resourceLogs", "scopeLogs", "logRecords")
     return r.select("arrival_seq", "batch_seq", "received_at", _ns("x.timeUnixNano").alias("ts_ns"), _ns("x.observedTimeUnixNano").alias("observed_ts_ns"), F.lower(F.coalesce("x.traceId", F.lit(""))).alias("trace_id"), F.lower(F.coalesce("x.spanId", F.lit(""))).alias("span_id"),
-        F.coalesce(F.col("x.severityNumber").try_cast("int"), F.lit(0)).alias("severity_number"), F.coalesce("x.severityText", F.lit("")).alias("severity_text"), F.coalesce(text_of(any_value(F.col("x.body"))), F.lit("")).alias("body"), service_of(F.col("resource")).alias("service_name"), attributes(F.col("x.attributes")).alias("attributes"), "resource")
+        F.coalesce(F.col("x.severityNumber").try_cast("int"), F.lit(0)).alias("severity_number"), F.coalesce("x.severityText", F.lit("")).alias("severity_text"), F.coalesce(text_of(F.expr(any_value("x.body"))), F.lit("")).alias("body"), service_of(F.col("resource")).alias("service_name"), F.expr(attributes("x.attributes")).alias("attributes"), "resource")

@@ -28,6 +28,7 @@ from teleloom.sources import canonical, otlp
 from teleloom.streaming.state import Hub, backoff
 
 SIGNALS = {"spans": otlp.spans, "points": otlp.points, "logs": otlp.logs}
+FIELDS = {"spans": "resourceSpans", "points": "resourceMetrics", "logs": "resourceLogs"}
 REQUESTS = "batch_seq bigint, received_at timestamp, value string"
 
 
@@ -117,14 +118,18 @@ class Ingest:
         if "resourceSpans" in requests.columns:
             requests = requests.select(F.to_json(F.struct(*[c for c in requests.columns if c.startswith("resource")])).alias("value"))
         lines = self._number(requests.select("value"), batch)
-        for signal, flat in SIGNALS.items():
-            self.store.append(signal, flat(otlp.parsed(lines)), batch)
-        self._deltas(batch)
-        self._keep(batch)
+        named = lines.agg(*[F.max(F.col("value").contains(f'"{field}"')).alias(signal) for signal, field in FIELDS.items()]).first()
+        came = [signal for signal in SIGNALS if named[signal]]  # most requests are of one signal
+        for signal in came:
+            self.store.append(signal, SIGNALS[signal](otlp.parsed(lines)), batch)
+        if "points" in came:
+            self._deltas(batch)
+        if "spans" in came:
+            self._keep(batch)
         for send in self.forward:  # every exporter gets every request
             send(lines.select("value"), batch)
         for tell in self.listeners:
-            for signal in SIGNALS:
+            for signal in came:
                 tell(signal, self.changed(signal, batch), batch)
 
     def _number(self, lines: DataFrame, batch: int) -> DataFrame:
