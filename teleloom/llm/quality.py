@@ -1,14 +1,15 @@
 """Per-document text statistics, and whether a text is running prose.
 
 A text is cut into units: runs of neighbouring lines of one kind inside a paragraph. A unit is described by two
-distributions, of its tokens over word kinds (function words of its best language, other words, names, numbers, mixed
-tokens, sentence marks, symbols) and of its characters over character classes, and compared by Jensen-Shannon
-divergence with structural profiles. The nearest profile names the unit's structure; a text is prose if at least half
-of its characters lie in units whose profile is prose.
-
-The profiles come from a bounded sample of labelled documents (``fit_profiles``): units of similar distributions are
-gathered into profiles, and a profile is prose if most of its characters come from documents labelled prose. Labels
-of single annotators may be wrong; profiles average over them.
+distributions, of its tokens (the function words of its best language by their grammatical classes, other words,
+names, numbers, mixed tokens, sentence marks, symbols) and of its characters over character classes, and compared by
+Jensen-Shannon divergence with structural profiles. The nearest profile names the unit's structure; a text is prose if
+at least half of its characters lie in units whose profile is prose.
+
+The profiles come from a bounded sample of labelled documents (``fit_profiles``): each language starts with the
+profile of its prose, other units of similar distributions are gathered into further profiles, and a profile is prose
+if most of its characters come from documents labelled prose. Labels of single annotators may be wrong; profiles
+average over them.
 """
 
 from __future__ import annotations
@@ -26,15 +27,38 @@ from pyspark.sql import functions as F
 
 from teleloom.plans.storage import spread
 
-#: Common function words by language.
+#: Common function words by language, and by class in the order of CLASSES.
+CLASSES = ("determiner", "preposition", "conjunction", "pronoun", "auxiliary", "adverb")
 FUNCTION_WORDS = {
-    "en": "the of and to in a is that it was for on are as with be by at this have from or had not but what all were when we there can an which their if do will each how then them these so would has its who now no could than been did get may over after before because until while where should only also into our you your they he she his her had my me any some such does must nor yet once both whether during since though although about again",
-    "de": "der die das und ist in den von zu mit sich des auf für im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn doch ohne weil sodass obwohl niemand immer seit diese dieser dieses wir ihr ich kann kaum was hatte hätte wäre",
-    "fr": "le la les de des du un une et est en que qui dans pour pas sur au aux par plus ce cette ces il elle on nous vous ils ne se son sa ses mais ou avec sans sont été être a ont avait comme si tout même leur après avant parce jusqu lorsque pendant depuis puis bien personne encore toujours aussi très peine",
-    "es": "el la los las de del un una y en que es por con para no se lo al su sus como más pero o este esta estos estas le ya porque cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno ni contra otros ese eso había ha han fue era aunque nadie mientras siempre entre apenas tras así según",
-}
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-KINDS = ("function", "word", "name", "caps", "number", "mixed", "mark", "symbol")
+    "en": ("the a an this that these all each any some such both no what which",
+           "of to in for on with by at from over after before into during about than",
+           "and or but as if when while because until since though although whether nor yet then where how so",
+           "it we their them they he she his her my me our your you its who",
+           "is was are be have had were can do will would has could been did get may should does must",
+           "not there now only also once again"),
+    "de": ("der die das den des dem ein eine einer einem einen diese dieser dieses",
+           "in von zu mit auf für im an aus nach bei um am über zum vor zur bis durch ohne seit",
+           "und als dass wie oder aber wenn weil sodass obwohl",
+           "sich es er sie man niemand wir ihr ich was",
+           "ist werden hat wird sind war haben sein wurde kann hatte hätte wäre",
+           "nicht auch noch so nur mehr doch immer kaum"),
+    "fr": ("le la les des du un une ce cette ces son sa ses leur tout",
+           "de en dans pour sur au aux par avec sans après avant jusqu pendant depuis",
+           "et que mais ou comme si parce lorsque puis",
+           "qui il elle on nous vous ils se personne même",
+           "est sont été être a ont avait",
+           "pas plus ne bien encore toujours aussi très peine"),
+    "es": ("el la los las un una su sus este esta estos estas todo todos uno otros ese",
+           "de del en por con para al sin sobre hasta desde durante contra entre tras según",
+           "y que como pero o porque cuando donde ni aunque mientras",
+           "se lo le me quien nos eso nadie",
+           "es hay había ha han fue era",
+           "no más ya muy también siempre apenas así"),
+}
+_LANGS = tuple(FUNCTION_WORDS)
+_CLASS_OF = [{w: c for c, words in enumerate(classes) for w in words.split()} for classes in FUNCTION_WORDS.values()]
+KINDS = (*CLASSES, "word", "name", "caps", "number", "mixed", "mark", "symbol")
+WORD, NAME, CAPS, NUMBER, MIXED, MARK, SYMBOL = range(len(CLASSES), len(KINDS))
 CHARS = ("lower", "upper", "digit", "space", "mark", "symbol", "foreign")
 _TOKEN = re.compile(r"[^\s.,;:!?\"'“”„«»’()…]+(?:['’][^\W\d_]+)*|[.,;:!?\"“”„«»()…]")
 _MARKS = frozenset(".,;:!?\"'“”„«»’()…-–—")
@@ -44,33 +68,33 @@ _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 SHORT = 6  # a line of fewer tokens takes the kind of its neighbours
 
 
-_LANGS = tuple(_SETS)
-_SEEN: dict[str, tuple[int, int]] = {}  # token -> (kind, bits of the languages it is a function word of)
+_SEEN: dict[str, tuple[int, int, tuple]] = {}  # token -> (kind, length if it is a word, (language, class) of each language it is a function word of)
 
 
-def _classify(t: str) -> tuple[int, int]:
-    kind, bits = 0, 0
+def _classify(t: str) -> tuple[int, int, tuple]:
+    kind, function = WORD, ()
     if len(t) == 1 and t in _MARKS:
-        kind = 6
+        kind = MARK
     elif _ALPHA.match(t):
         parts = [p for p in re.split("['’]", t.lower()) if p]
-        bits = sum(1 << i for i, lang in enumerate(_LANGS) if any(p in _SETS[lang] for p in parts))
+        hits = [(i, next((known[p] for p in parts if p in known), None)) for i, known in enumerate(_CLASS_OF)]
+        function = tuple((i, c) for i, c in hits if c is not None)
         if len(t) > 24:
-            kind = 5
+            kind = MIXED
         elif t.isupper() and len(t) > 1:
-            kind = 3
+            kind = CAPS
         elif t[0].isupper():
-            kind = 2 if len(t) == 1 or t[1:].islower() else 5
+            kind = NAME if len(t) == 1 or t[1:].islower() else MIXED
         else:
-            kind = 1 if t.islower() else 5
+            kind = WORD if t.islower() else MIXED
     elif _NUM.match(t):
-        kind = 4
+        kind = NUMBER
     else:
-        kind = 5 if any(c.isalnum() for c in t) else 7
+        kind = MIXED if any(c.isalnum() for c in t) else SYMBOL
     if len(_SEEN) > 200_000:
         _SEEN.clear()
-    _SEEN[t] = kind, bits
-    return kind, bits
+    _SEEN[t] = out = kind, len(t) if kind < MARK else 0, function
+    return out
 
 
 class _CharClasses(dict):
@@ -90,27 +114,37 @@ class _CharClasses(dict):
 _CLASS = _CharClasses()
 
 
-def token_vector(text: str) -> tuple[np.ndarray, str]:
+def token_counts(text: str) -> tuple[list[int], str]:
     """Counts over KINDS + CHARS and the length of all words (unnormalised), and the language of most function words."""
-    kinds, hits, length = [0] * len(KINDS), [0] * len(_LANGS), 0
-    for t, n in Counter(_TOKEN.findall(text)).items():
-        kind, bits = _SEEN.get(t) or _classify(t)
-        kinds[kind] += n
-        if kind < 6:
-            length += n * len(t)
-        i = 0
-        while bits:
-            if bits & 1:
-                hits[i] += n
-            bits >>= 1
-            i += 1
-    top = max(hits)
-    lang = _LANGS[hits.index(top)] if top else ""
-    # Function words of the best language are a kind of their own; they were counted as words or names above.
-    moved = min(top, kinds[1])
-    kinds[0], kinds[1], kinds[2] = top, kinds[1] - moved, max(0, kinds[2] - (top - moved))
-    classes = text.translate(_CLASS)
-    return np.array([*kinds, *(classes.count(c) for c in "abcdefg"), length], float), lang
+    kinds, length, function, seen = [0] * len(KINDS), 0, [], _SEEN.get
+    for t in _TOKEN.findall(text):
+        kind, n, more = seen(t) or _classify(t)
+        kinds[kind] += 1
+        length += n
+        if more:
+            function += more
+    lang = ""
+    if function:
+        hits = [0] * len(_LANGS)
+        for i, _ in function:
+            hits[i] += 1
+        top = max(hits)
+        best = hits.index(top)
+        lang = _LANGS[best]
+        # Function words of the best language are kinds of their own; they were counted as words or names above.
+        for i, c in function:
+            if i == best:
+                kinds[c] += 1
+        moved = min(top, kinds[WORD])
+        kinds[WORD], kinds[NAME] = kinds[WORD] - moved, max(0, kinds[NAME] - (top - moved))
+    count = text.translate(_CLASS).count
+    return [*kinds, count("a"), count("b"), count("c"), count("d"), count("e"), count("f"), count("g"), length], lang
+
+
+def token_vector(text: str) -> tuple[np.ndarray, str]:
+    """``token_counts`` as an array."""
+    v, lang = token_counts(text)
+    return np.array(v, float), lang
 
 
 def distribution(v: np.ndarray) -> np.ndarray:
@@ -132,11 +166,12 @@ def visible(text: str) -> str:
     return text if text.isascii() else _HIDDEN.sub("", text)
 
 
+_WEIGHTS = np.repeat(np.array([2 / 3, 1 / 3], np.float32), [len(KINDS), len(CHARS)])
+
+
 def _entropies(p: np.ndarray) -> np.ndarray:
-    """Entropies of rows of two distributions side by side, weighed as in ``divergence``."""
-    h = -p * np.log2(p)
-    k = len(KINDS)
-    return (2 * h[..., :k].sum(-1) + h[..., k:].sum(-1)) / 3
+    """Entropies (in nats) of rows of two distributions side by side, weighed as in ``divergence``."""
+    return -(p * np.log(p)) @ _WEIGHTS
 
 
 def paragraphs(text: str) -> list[list[str]]:
@@ -160,11 +195,12 @@ class Profiles:
     def nearest(self, vs: np.ndarray) -> np.ndarray:
         """The nearest profile of each row of counts; the entropies of the profiles are computed once."""
         if self._entropy is None:
-            self._entropy = _entropies(self.rows)
-        x = np.asarray(vs, float)
-        a, b = x[:, : len(KINDS)] + 0.05, x[:, len(KINDS) : len(KINDS) + len(CHARS)] + 0.5
-        p = np.concatenate((a / a.sum(1, keepdims=True), b / b.sum(1, keepdims=True)), axis=1)
-        m = (p[:, None, :] + self.rows[None, :, :]) / 2
+            self._halves = (self.rows / 2).astype(np.float32)
+            self._entropy = _entropies(self.rows.astype(np.float32))
+        x = np.asarray(vs, np.float32)
+        a, b = x[:, : len(KINDS)] + np.float32(0.05), x[:, len(KINDS) : len(KINDS) + len(CHARS)] + np.float32(0.5)
+        p = np.concatenate((a / (2 * a.sum(1, keepdims=True)), b / (2 * b.sum(1, keepdims=True))), axis=1)
+        m = p[:, None, :] + self._halves[None, :, :]
         return np.argmin(2 * _entropies(m) - self._entropy[None, :], axis=1)  # the own entropy is the same for all profiles
 
     def dump(self) -> str:
@@ -180,7 +216,7 @@ class Profiles:
         flat = [x for lines in parts for x in lines]
         if not flat:
             return [], token_vector("")[0]
-        vs = np.array([token_vector(x)[0] for x in flat])
+        vs = np.array([token_counts(x)[0] for x in flat], float)
         long = vs[:, : len(KINDS)].sum(1) >= SHORT
         prose = self.prose[self.nearest(vs)].tolist()
         runs, at = [], 0
@@ -209,8 +245,8 @@ class Profiles:
 def learn(texts: list[tuple[str, bool]], most: int = 32, spread: float = 0.035) -> Profiles:
     """Profiles of the units of labelled texts.
 
-    Leaders are chosen farthest first until every unit lies within ``spread`` of one or there are ``most``; then some
-    rounds of nearest-leader averages.
+    Leaders are the prose of each language and then, farthest first, further units until every one lies within
+    ``spread`` of a leader or there are ``most``; then some rounds of nearest-leader averages.
     """
     vs, prose, weight, langs = [], [], [], []
     for text, label in texts:
@@ -224,12 +260,14 @@ def learn(texts: list[tuple[str, bool]], most: int = 32, spread: float = 0.035)
     if not vs:
         raise ValueError("no labelled text to learn from")
     x, y, w = np.array(vs), np.array(prose, float), np.array(weight, float)
-    first = int(np.argmin(divergence(x, x.mean(0)[None, :])))
-    leaders, d = [first], divergence(x, x[first][None, :])
-    while len(leaders) < most and d.max() > spread:
-        leaders.append(int(np.argmax(d)))
-        d = np.minimum(d, divergence(x, x[leaders[-1]][None, :]))
-    rows = x[leaders]
+    at = np.array(langs)
+    rows = [np.average(x[of], axis=0, weights=w[of]) for lang in _LANGS if (of := (at == lang) & (y > 0)).any()]  # the prose of each language
+    rows = rows or [x[int(np.argmin(divergence(x, x.mean(0)[None, :])))]]
+    d = np.min([divergence(x, r[None, :]) for r in rows], axis=0)
+    while len(rows) < most and d.max() > spread:
+        rows.append(x[int(np.argmax(d))])
+        d = np.minimum(d, divergence(x, rows[-1][None, :]))
+    rows = np.array(rows)
     for _ in range(10):
         who = np.argmin(np.stack([divergence(x, r[None, :]) for r in rows]), axis=0)
         new = np.array([np.average(x[who == i], axis=0, weights=w[who == i]) if (who == i).any() else rows[i] for i in range(len(rows))])
@@ -246,12 +284,13 @@ def learn(texts: list[tuple[str, bool]], most: int = 32, spread: float = 0.035)
 
 
 def _default() -> Profiles:
-    """Profiles to start from where there are no labels of both kinds: prose by its share of function words, against nine kinds of other text."""
+    """Profiles to start from where there are no labels of both kinds: prose by its function words, against nine kinds of other text."""
+    classes = np.array([30, 25, 13, 12, 14, 6]) / 100  # of a hundred function words of prose
     kinds = [("prose", [43, 40, 6, 0, 3, 0, 8, 0], [76, 2, 2, 18, 2, 0, 0]), ("prose-short", [25, 48, 8, 0, 6, 0, 13, 0], [74, 2, 3, 18, 3, 0, 0])]
     kinds += [("words", [1, 80, 5, 0, 0, 0, 14, 0], [84, 1, 0, 13, 2, 0, 0]), ("list", [1, 55, 2, 0, 2, 10, 0, 30], [75, 1, 1, 18, 3, 2, 0]), ("log", [5, 25, 0, 7, 24, 18, 21, 0], [40, 8, 29, 11, 9, 3, 0])]
     kinds += [("table", [0, 15, 0, 0, 20, 10, 5, 50], [35, 0, 20, 28, 5, 12, 0]), ("code", [0, 2, 0, 0, 0, 96, 2, 0], [40, 35, 15, 2, 3, 5, 0]), ("keys", [0, 33, 0, 0, 4, 30, 33, 0], [76, 0, 7, 6, 6, 5, 0]), ("fields", [0, 12, 0, 0, 18, 35, 35, 0], [50, 0, 10, 16, 24, 0, 0])]
     kinds += [("menu", [5, 0, 47, 0, 0, 0, 0, 48], [54, 12, 0, 22, 0, 12, 0]), ("noise", [0, 2, 0, 0, 1, 88, 0, 9], [15, 0, 5, 5, 0, 60, 15])]
-    return Profiles([k for k, _, _ in kinds], np.array([distribution(np.array([*a, *b], float)) for _, a, b in kinds]), [k.startswith("prose") for k, _, _ in kinds])
+    return Profiles([k for k, _, _ in kinds], np.array([distribution(np.array([*(a[0] * classes), *a[1:], *b], float)) for _, a, b in kinds]), [k.startswith("prose") for k, _, _ in kinds])
 
 
 def fit_profiles(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, longest: int = 8000) -> Profiles:
@@ -279,7 +318,7 @@ def statistics_of(text: str | None, profiles: Profiles) -> tuple:
     units, v = profiles.units(text)
     total = sum(n for n, _ in units)
     lines = [x.strip() for x in text.splitlines() if x.strip()]
-    words = int(v[:6].sum())
+    words = int(v[:MARK].sum())
     upper, digit, space, symbol = v[len(KINDS) + 1], v[len(KINDS) + 2], v[len(KINDS) + 3], v[len(KINDS) + 5]
     ink = max(1.0, v[len(KINDS) : -1].sum() - space)
     sizes: dict[int, int] = {}
@@ -289,7 +328,7 @@ def statistics_of(text: str | None, profiles: Profiles) -> tuple:
     share = sum(n for i, n in sizes.items() if profiles.prose[i]) / max(1, total)
     return (len(text), words, len(lines), float(v[-1] / words) if words else None, float(symbol / ink), float(digit / ink), float(upper / ink),
         sum(x[-1] in ".!?:;…" for x in lines) / max(1, len(lines)), sum(x[0] in "-*+•·>|#" for x in lines) / max(1, len(lines)),
-        float(v[0] / max(1, words)), 1 - len(set(lines)) / max(1, len(lines)), float(share), profiles.names[main], float(divergence(distribution(v)[None, :], profiles.rows[main][None, :])[0]), bool(share >= 0.5))
+        float(v[:WORD].sum() / max(1, words)), 1 - len(set(lines)) / max(1, len(lines)), float(share), profiles.names[main], float(divergence(distribution(v)[None, :], profiles.rows[main][None, :])[0]), bool(share >= 0.5))
 
 
 def statistics(docs: DataFrame, profiles: Profiles) -> DataFrame:
