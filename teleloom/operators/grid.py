@@ -16,10 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from teleloom.operators.spikes import residuals
+from teleloom.plans.storage import Workspace
+
 SLOT_NS = 60 * 10**9
+#: Slots in a row of the Hankel matrix, and scatters from the running median that a reading counts for at most.
+WINDOW, CLIP = 24, 4.0
 
 
-def ssa_impute(x: np.ndarray, window: int = 60, energy: float = 0.9, most: int = 6, settle: int = 20, rounds: int = 500, tol: float = 1e-3, depth: int = 10) -> tuple[np.ndarray, str]:
+def ssa_impute(x: np.ndarray, window: int = WINDOW, energy: float = 0.7, most: int = 3, settle: int = 20, rounds: int = 500, tol: float = 1e-3, depth: int = 10) -> tuple[np.ndarray, str]:
     """``x`` with its NaN entries imputed, and how: ``spectrum``, ``lines`` (too short, too sparse or constant a series:
     straight lines) or ``unsettled`` (no rank came to rest).
 
@@ -27,7 +32,8 @@ def ssa_impute(x: np.ndarray, window: int = 60, energy: float = 0.9, most: int =
     averages of a rank-one term are a convolution. The rank follows ``energy`` for ``settle`` rounds and is then kept,
     so that the iteration has a point of rest; from there Anderson's extrapolation over ``depth`` rounds leads to it,
     dropped wherever it would raise the part left out. At rest, a round and the extrapolation move no entry by ``tol``
-    standard deviations. A rank that has no rest within ``rounds`` is too high for the gaps (they run away): the next
+    standard deviations. Readings further than ``CLIP`` scatters from their running median count as if they lay there:
+    a spike has more energy than all the rest and would take the leading vectors for itself. A rank that has no rest within ``rounds`` is too high for the gaps (they run away): the next
     lower one is taken, from straight lines again.
     """
     x = np.asarray(x, float)
@@ -36,11 +42,14 @@ def ssa_impute(x: np.ndarray, window: int = 60, energy: float = 0.9, most: int =
     if k == n or k == 0:
         return x, "spectrum"
     at, gap = np.arange(n), ~seen
-    mid, scale = x[seen].mean(), x[seen].std()
-    y = np.interp(at, at[seen], x[seen]) - mid
+    r = residuals(x[seen])
+    s = CLIP * 1.4826 * np.median(np.abs(r))
+    z = x[seen] - r + np.clip(r, -s, s) if s > 0 else x[seen]
+    mid, scale = z.mean(), z.std()
+    y = np.interp(at, at[seen], z) - mid
     w = min(window, n // 2)
     if k < 8 or w < 3 or scale == 0:
-        return y + mid, "lines"
+        return np.where(seen, x, y + mid), "lines"
     line, times = y[gap], np.minimum(np.minimum(at + 1, n - at), w).astype(float)
 
     def once(v: np.ndarray, r: int | None) -> tuple[np.ndarray, float, int]:
@@ -56,7 +65,7 @@ def ssa_impute(x: np.ndarray, window: int = 60, energy: float = 0.9, most: int =
 
     def filled(v: np.ndarray, how: str) -> tuple[np.ndarray, str]:
         y[gap] = v
-        return y + mid, how
+        return np.where(seen, x, y + mid), how
 
     start = line
     for _ in range(settle):
@@ -83,7 +92,7 @@ def ssa_impute(x: np.ndarray, window: int = 60, energy: float = 0.9, most: int =
     return filled(first, "unsettled")
 
 
-def ssa_fill(x: np.ndarray, window: int = 60, **how: float) -> np.ndarray:
+def ssa_fill(x: np.ndarray, window: int = WINDOW, **how: float) -> np.ndarray:
     """``x`` with its NaN entries imputed; too short or too sparse a series is filled by straight lines."""
     return ssa_impute(x, window, **how)[0]
 
@@ -102,7 +111,7 @@ def slots(points: DataFrame, keys: list[str], slot_ns: int = SLOT_NS, ts: str =
     return rows.withColumn("slot", slot).groupBy(*keys, "slot").agg(F.avg("v").alias("value"), F.count("v").alias("readings"))
 
 
-def regular_grid(points: DataFrame, keys: list[str], slot_ns: int = SLOT_NS, core: int = 720, margin: int = 120, window: int = 60, ts: str = "ts_ns", value: str = "value", extra: Column | None = None) -> DataFrame:
+def regular_grid(points: DataFrame, keys: list[str], slot_ns: int = SLOT_NS, core: int = 720, margin: int = 120, window: int = WINDOW, ts: str = "ts_ns", value: str = "value", extra: Column | None = None) -> DataFrame:
     """One row per source and slot between its first and last reading: keys, slot_ns (start), value, readings, state, fill.
 
     ``state`` is ``observed``, ``imputed`` or ``missing`` (no reading in the block and its margins: marked, value null).
@@ -112,8 +121,6 @@ def regular_grid(points: DataFrame, keys: list[str], slot_ns: int = SLOT_NS, cor
     """
     by_slot = slots(points, keys, slot_ns, ts, value, extra)
     spark = points.sparkSession
-    from teleloom.plans.storage import Workspace
-
     by_slot = Workspace(spark, "grid").put("slots", by_slot)  # read twice: by range and by block
     lo, hi = F.col("slot") - margin, F.col("slot") + margin
     block = lambda c: F.floor(c / F.lit(core)).cast("bigint")

@@ -132,6 +132,22 @@ def test_ssa_goes_on_to_rest():
     assert grid.ssa_impute(x, settle=1, rounds=1)[1] == "unsettled" and grid.ssa_impute(np.array([1.0, np.nan, 3.0]))[1] == "lines"
 
 
+def test_held_out_readings_are_met_better_than_by_lines():
+    rng, t = np.random.default_rng(9), np.arange(500)
+    x = 50 + 5 * np.sin(t / 11) + rng.normal(0, 1, 500)
+    x[rng.integers(0, 500, 5)] += 200  # spikes lead neither the spectrum nor its neighbours astray
+    seen = np.flatnonzero(x < 100)
+    hidden = rng.choice(seen[1:-1], 150, replace=False)
+    gap = x.copy()
+    gap[hidden] = np.nan
+    there = ~np.isnan(gap)
+    error = lambda y: np.sqrt(np.mean((y[hidden] - x[hidden]) ** 2))
+    lines = np.interp(t, t[there], gap[there])
+    got = grid.ssa_fill(gap)
+    assert error(got) < 0.9 * np.sqrt(np.mean(np.clip(lines[hidden] - x[hidden], -6, 6) ** 2)) and error(got) < 1.4
+    assert (got[there] == gap[there]).all()
+
+
 def test_grid_tells_how_a_slot_was_filled(spark):
     m = grid.SLOT_NS
     data = [{"service_name": s, "ts_ns": t * m, "value": float(np.sin(t / 5))} for s, ts in (("a", (1, 2, 4)), ("b", [t for t in range(1, 200) if t % 7])) for t in ts]
