@@ -39,6 +39,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gauge_grid(spark, sf_dir).filter("state <> 'observed'").select(*SOURCE, "slot_ns")
 
 
+def p3_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slot of the grid, how many readings fell into it, and whether it was observed."""
+    return _gauge_grid(spark, sf_dir).select(*SOURCE, "slot_ns", "readings", (F.col("state") == "observed").alias("observed"))
+
+
 def late_store(spark: SparkSession, sf_dir: str, batches: int = 4) -> late.LateStore:
     """All logs taken into a new store in ``batches`` runs of arrival of about equal length; half of them added up in between."""
     logs = table(spark, sf_dir, "logs")
@@ -98,6 +103,10 @@ def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.flag(table(spark, sf_dir, "metric_points"))
 
 
+def p6_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.flag(table(spark, sf_dir, "metric_points")).filter("reason = 'impossible'").select("arrival_seq")
+
+
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans with set ids as messages: all their columns, key and part (day of arrival)."""
     t, s = normal_id("trace_id"), normal_id("span_id")
@@ -129,4 +138,4 @@ def p7_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_store(spark, sf_dir).read().select("arrival_seq", "trace_id", "span_id", "name", "service_name", "start_ns", "duration_ns", "status_code")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_grid, p4_found, p4_periods, p4_stream, p5_found, p5_spans, p5_events, p5_rejected, p6_found, p6_reasons, p7_found, p7_winners)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_grid, p3_states, p4_found, p4_periods, p4_stream, p5_found, p5_spans, p5_events, p5_rejected, p6_found, p6_reasons, p6_impossible, p7_found, p7_winners)}

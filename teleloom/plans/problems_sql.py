@@ -84,6 +84,12 @@ grid AS (SELECT service_name, metric_name, instance_id, unnest(generate_series(a
 SELECT g.service_name, g.metric_name, g.instance_id, g.slot * 60000000000 AS slot_ns FROM grid AS g
 WHERE NOT EXISTS (SELECT 1 FROM readings AS r WHERE r.service_name = g.service_name AND r.metric_name = g.metric_name
   AND r.instance_id = g.instance_id AND r.slot = g.slot)""",
+    "p3_states": f"""WITH {_READINGS}, ends AS (
+  SELECT service_name, metric_name, instance_id, min(slot) AS a, max(slot) AS b FROM readings GROUP BY ALL),
+grid AS (SELECT service_name, metric_name, instance_id, unnest(generate_series(a, b)) AS slot FROM ends),
+n AS (SELECT service_name, metric_name, instance_id, slot, count(*) AS n FROM readings GROUP BY ALL)
+SELECT service_name, metric_name, instance_id, slot * 60000000000 AS slot_ns, CAST(coalesce(n, 0) AS BIGINT) AS readings, n IS NOT NULL AS observed
+FROM grid LEFT JOIN n USING (service_name, metric_name, instance_id, slot)""",
     "p4_found": f"""WITH {_LATE}
 SELECT DISTINCT service_name, period_ns, arrival_period_ns FROM judged WHERE ok AND arrival_period_ns > period_ns""",
     "p4_periods": f"""WITH {_LATE}
@@ -108,6 +114,10 @@ SELECT t.payload_id, CASE WHEN t.payload IS NULL THEN 'null' WHEN trim(t.payload
   WHEN NOT json_valid(t.payload) THEN 'not JSON' ELSE 'no object' END AS reason
 FROM trace_payloads AS t
 WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.payload_id = t.payload_id AND json_valid(p) AND json_type(CAST(p AS JSON)) = 'OBJECT')""",
+    "p6_impossible": """WITH x AS (
+  SELECT arrival_seq, metric_type, unit, list_transform([value, count, sum, min, max], lambda v: CASE WHEN isfinite(v) THEN v END) AS f FROM metric_points)
+SELECT arrival_seq FROM x WHERE coalesce(list_min(f) < 0, false) OR coalesce(unit = '1' AND f[1] > 1, false)
+  OR (coalesce(metric_type, '') = 'Histogram' AND (coalesce(f[4] > f[5], false) OR coalesce(f[3] > f[2] * f[5] * (1 + 1e-9), false) OR coalesce(f[3] > 0 AND coalesce(f[2], 0) = 0, false)))""",
     "p7_found": f"""WITH {_IDS}
 SELECT arrival_seq FROM (
   SELECT arrival_seq, row_number() OVER (PARTITION BY t, s ORDER BY arrival_seq) AS rn FROM ids WHERE t <> '' AND s <> '') AS x

@@ -365,7 +365,58 @@ def feed_union(spark, d):
     return feed.feed(t, m, _logs(spark, d).select("arrival_seq", "trace_id"))
 
 
+def trace_merge(spark, d):
+    """The traces after the spans of the later half of arrival came to those of the earlier."""
+    s = canonical.spans(table(spark, d, "spans")).drop("attributes", "events", "resource")
+    half = s.agg(F.floor((F.min("arrival_seq") + F.max("arrival_seq")) / 2)).first()[0] or 0
+    return _flat_trace(traces.merge_rollup(s.filter(F.col("arrival_seq") <= half), s.filter(F.col("arrival_seq") > half)))
+
+
+def trace_errors_rank(spark, d):
+    """L7 over all traces."""
+    t = _traces(spark, d).select("trace_id", "has_error", "duration_ns", "first_seq")
+    return rank_by_key(t, [], [F.desc("has_error"), F.desc("duration_ns"), F.col("first_seq")], "n").drop("first_seq")
+
+
+def metric_last_thousand(spark, d):
+    """W9 with the number of points that is usual."""
+    return metrics.last_points(_points(spark, d)).select("service_name", "metric_name", "arrival_seq")
+
+
+def series_tracked(spark, d):
+    """W7 with the number of series that is usual."""
+    return metrics.newest_series(_raw(spark, d))
+
+
+def points_newest(spark, d):
+    """Points numbered from the newest on."""
+    return rank_by_key(_points(spark, d).select("service_name", "metric_name", "arrival_seq"), [], [F.desc("arrival_seq")], "n")
+
+
+def search_logs_of_trace(spark, d):
+    """Logs with a letter in the trace of the smallest id that has any."""
+    logs = _logs(spark, d)
+    least = logs.filter("trace_id <> ''").agg(F.min("trace_id")).first()[0]
+    return search.search_logs(logs, "E", least or "none").select("arrival_seq")
+
+
+def _sizes(spark, d):
+    return table(spark, d, "spans").filter("duration_ns is not null").select(F.abs("duration_ns").alias("n")).distinct()
+
+
+def fmt_units(spark, d):
+    """F2, F8, F9 and F11."""
+    n = F.col("n").cast("double")
+    return _sizes(spark, d).select("n", format.format_duration_as(F.col("n"), F.lit(5 * 10**8)).alias("of_ms"), format.format_seconds(n / 1e9).alias("seconds"), format.format_millis(n / 1e6).alias("millis"), format.compact(n).alias("compact"))
+
+
+def fmt_relative(spark, d):
+    """F3, as of 6 March 2026, noon."""
+    return _logs(spark, d).select("arrival_seq", format.format_relative(F.floor(F.col("ts_ns") / F.lit(10**6)), 1772798400000).alias("text"))
+
+
 QUERIES = {f.__name__: f for f in (
+    trace_merge, trace_errors_rank, metric_last_thousand, series_tracked, points_newest, search_logs_of_trace, fmt_units, fmt_relative,
     trace_list, trace_list_page, span_dedup, span_dedup_reference, trace_root_span, trace_service_label, trace_errors_first, trace_by_id, trace_bounds, span_trace,
     trace_logs, trace_log_counts, log_trace_edge, log_span_edge, span_parent, orphan_spans, spans_with_children, service_nodes, service_edges, service_edges_resolved, service_radius,
     span_tree, span_tree_collapsed, waterfall_bars, timeline_ticks, trace_services, span_events, resource_service, span_duration, unset_ids,

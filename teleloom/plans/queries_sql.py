@@ -78,7 +78,44 @@ _LABELS = ", ".join(f"('{a}', '{b}')" for a, b in label_map().items())
 _RULE_OF = f"rules(ordinal, pattern, unit, attributes, label) AS (VALUES {_RULES})"
 _TONE = "CASE WHEN severity_text = 'INFO' THEN 'primary' WHEN severity_text = 'WARN' THEN 'warning' WHEN severity_text IN ('ERROR', 'FATAL') THEN 'destructive' ELSE 'muted' END"
 
+
+
+def _fixed(v: str) -> str:
+    """F10, with ties away from zero."""
+    return f"""CASE WHEN {v} >= 100 THEN printf('%.0f', {v} + CASE WHEN {v} - floor({v}) = 0.5 THEN 0.1 ELSE 0.0 END)
+  WHEN {v} >= 10 THEN printf('%.1f', {v} + CASE WHEN {v} * 4 = floor({v} * 4) AND ({v} * 20) % 2 = 1 THEN 0.01 ELSE 0.0 END)
+  ELSE printf('%.2f', {v} + CASE WHEN {v} * 8 = floor({v} * 8) AND ({v} * 200) % 2 = 1 THEN 0.001 ELSE 0.0 END) END"""
+
+
+def _tenths(unit: str) -> str:
+    return f"((n * 10 + {unit} // 2) // {unit})"
+
+
+def _compact() -> str:
+    text = lambda t: f"CAST({t} // 10 AS VARCHAR) || CASE WHEN {t} % 10 = 0 THEN '' ELSE '.' || CAST({t} % 10 AS VARCHAR) END"
+    steps = " ".join(f"WHEN n < {top} THEN {text(_tenths(unit))} || '{name}'" for unit, top, name in (("1000", 999950, "K"), ("1000000", 999950000, "M"), ("1000000000", 999950000000, "B")))
+    return f"CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) {steps} ELSE {text(_tenths('1000000000000'))} || 'T' END"
+
+
 SQL = {
+    "trace_merge": f"WITH {_T} SELECT {_FLAT} FROM t",
+    "trace_errors_rank": f"WITH {_T} SELECT trace_id, has_error, duration_ns, row_number() OVER (ORDER BY has_error DESC, duration_ns DESC NULLS LAST, first_seq) AS n FROM t",
+    "metric_last_thousand": f"WITH {_P} SELECT {_MK}, arrival_seq FROM (SELECT *, row_number() OVER (PARTITION BY {_MK} ORDER BY arrival_seq DESC) AS rn FROM pts) AS x WHERE rn <= 1000",
+    "series_tracked": f"WITH {_P} SELECT {_SK}, max(arrival_seq) AS last_seq FROM r GROUP BY {_SK} ORDER BY last_seq DESC LIMIT 50000",
+    "points_newest": f"WITH {_P} SELECT {_MK}, arrival_seq, row_number() OVER (ORDER BY arrival_seq DESC) AS n FROM pts",
+    "search_logs_of_trace": f"WITH {_L} SELECT arrival_seq FROM l WHERE trace_id = (SELECT min(trace_id) FROM l WHERE trace_id <> '') AND (contains(lower(body), 'e') OR contains(lower(service_name), 'e') OR contains(lower(severity_text), 'e') OR contains(trace_id, 'e'))",
+    "fmt_units": f"""WITH d AS (SELECT DISTINCT abs(duration_ns) AS n FROM spans WHERE duration_ns IS NOT NULL),
+v AS (SELECT n, n / 1e9 AS s, n / 1e6 AS ms FROM d),
+w AS (SELECT *, CASE WHEN s >= 1 THEN s WHEN s >= 1e-3 THEN s * 1e3 ELSE s * 1e6 END AS sv, CASE WHEN ms >= 1000 THEN ms / 1000 WHEN ms >= 1 THEN ms ELSE ms * 1000 END AS mv, s - floor(s / 60) * 60 AS left_ FROM v)
+SELECT n, printf('%.1f', ms + CASE WHEN n % 100000 = 50000 AND n % 250000 = 0 THEN 0.01 ELSE 0.0 END) || 'ms' AS of_ms,
+  CASE WHEN n = 0 THEN '0 s' WHEN s >= 60 THEN CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR) || 'm ' || printf('%.0f', left_ + CASE WHEN left_ - floor(left_) = 0.5 THEN 0.1 ELSE 0.0 END) || 's'
+    ELSE {_fixed('sv')} || CASE WHEN s >= 1 THEN ' s' WHEN s >= 1e-3 THEN ' ms' ELSE ' μs' END END AS seconds,
+  {_fixed('mv')} || CASE WHEN ms >= 1000 THEN ' s' WHEN ms >= 1 THEN ' ms' ELSE ' μs' END AS millis, {_compact()} AS compact FROM w""",
+    "fmt_relative": f"""WITH {_L}, k AS (SELECT arrival_seq, 1772798400000 - ts_ns // 1000000 AS d FROM l)
+SELECT arrival_seq, CASE WHEN d < 1000 THEN 'now' WHEN d < 60000 THEN CAST(d // 1000 AS VARCHAR) || 's ago' WHEN d < 3600000 THEN CAST(d // 60000 AS VARCHAR) || 'm ago' WHEN d < 86400000 THEN CAST(d // 3600000 AS VARCHAR) || 'h ago' ELSE CAST(d // 86400000 AS VARCHAR) || 'd ago' END AS text FROM k""",
+    "feed_union": f"""WITH {_T}, {_L}, {_M} SELECT 'traces' AS type, CAST(json_object('trace_id', trace_id, 'span_count', span_count) AS VARCHAR) AS data FROM t
+UNION ALL SELECT 'metrics', CAST(json_object('service_name', service_name, 'metric_name', metric_name, 'point_count', point_count) AS VARCHAR) FROM m
+UNION ALL SELECT 'logs', CAST(json_object('arrival_seq', arrival_seq, 'trace_id', trace_id) AS VARCHAR) FROM l""",
     "span_dedup": f"WITH {_S} SELECT trace_id, span_id, parent_span_id, name, service_name, start_ns, duration_ns, status_code, arrival_seq FROM s",
     "span_dedup_reference": f"""WITH {_C}, x AS (SELECT *, row_number() OVER (PARTITION BY trace_id, span_id ORDER BY arrival_seq) AS rn, min(batch_seq) OVER (PARTITION BY trace_id) AS fb FROM c)
 SELECT trace_id, span_id, arrival_seq FROM x WHERE batch_seq = fb OR rn = 1 OR span_id = ''""",
