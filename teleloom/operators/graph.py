@@ -64,26 +64,35 @@ def span_tree(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, depth, has_children, position, path) of deduplicated spans in pre-order within a trace.
 
     Roots are parentless or orphaned spans; siblings come in order of start, ties in order of arrival. Spans on or
-    below a loop have no root and no row. ``path`` sorts a trace's spans in pre-order.
+    below a loop have no root and no row. ``path`` sorts a trace's spans in pre-order; it has sixteen bytes for each span
+    from the root on.
     """
-    named = spans.filter("span_id <> ''")
-    node = pack_ids(F.col("trace_id"), F.col("span_id"))
-    parent = F.when(F.col("parent_span_id") != "", pack_ids(F.col("trace_id"), F.col("parent_span_id")))
-    step = F.concat(F.lpad(F.greatest(F.coalesce("start_ns", F.lit(0)), F.lit(0)).cast("string"), 19, "0"), F.lit("."), F.lpad(F.col("arrival_seq").cast("string"), 19, "0"))
-    t = tree(named.select(node.alias("node"), parent.alias("parent"), step.alias("seg"))).filter("not endless")
-    used = named.filter("parent_span_id <> ''").select(parent.alias("node")).distinct().withColumn("_kids", F.lit(True))
-    flat = t.join(used, "node", "left").select("trace_id", "span_id", "depth", F.coalesce("_kids", F.lit(False)).alias("has_children"), "path")
+    ws = Workspace(spans.sparkSession, "span-tree")
+    ids = pack_ids(F.col("trace_id"), F.col("span_id")), F.when(F.col("parent_span_id") != "", pack_ids(F.col("trace_id"), F.col("parent_span_id")))
+    step = F.concat(_eight(F.greatest(F.coalesce("start_ns", F.lit(0)), F.lit(0))), _eight(F.col("arrival_seq")))
+    named = ws.put("named", spans.filter("span_id <> ''").select(ids[0].alias("node"), ids[1].alias("parent"), step.alias("seg")))
+    t = tree(named, sep="").filter("not endless")
+    used = named.filter("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("_kids", F.lit(True))
+    flat = ws.put("flat", t.join(used, "node", "left").select("trace_id", "span_id", "depth", F.coalesce("_kids", F.lit(False)).alias("has_children"), "path"))
     return rank_by_key(flat, ["trace_id"], [F.col("path")], "position").select("trace_id", "span_id", "depth", "has_children", "position", "path")
 
 
+def _eight(c: Column) -> Column:
+    """A whole number not below 0 as eight bytes that sort as it does."""
+    return F.unhex(F.lpad(F.hex(c.cast("bigint")), 16, "0"))
+
+
+#: Bytes of a path for each span on it.
+_STEP = 16
+
+
 def collapse(flat: DataFrame, collapsed: DataFrame) -> DataFrame:
     """A span tree without the descendants of ``collapsed`` (trace_id, span_id) spans, which themselves stay.
 
     Each row looks its own ancestors up by their paths, so nothing but equal paths meets.
     """
     shut = flat.join(collapsed.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"], "left_semi").select("trace_id", F.col("path").alias("_up"))
-    steps = F.split("path", "/")
-    up = flat.filter("depth > 0").select("trace_id", "span_id", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth").cast("int")), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))).alias("_up"))
+    up = flat.filter("depth > 0").select("trace_id", "span_id", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth").cast("int")), lambda i: F.substring(F.col("path"), F.lit(1), i * _STEP))).alias("_up"))
     hidden = up.join(shut, ["trace_id", "_up"], "left_semi").select("trace_id", "span_id").distinct()
     return flat.join(hidden, ["trace_id", "span_id"], "left_anti").select(*flat.columns)
 

@@ -19,6 +19,10 @@ from teleloom.plans.skew import lookup_join
 from teleloom.plans.storage import Workspace
 
 
+#: Rows of a pool that are not worth a job to cut.
+LARGE = 500_000
+
+
 def first_arrivals(spans: DataFrame) -> DataFrame:
     """One row (node, parent) for each set (trace_id, span_id): that of the smallest arrival_seq.
 
@@ -60,40 +64,46 @@ def endless(spans: DataFrame) -> DataFrame:
     return found.select(packed_trace("node").alias("trace_id"), packed_span("node").alias("span_id"))
 
 
-def tree(nodes: DataFrame) -> DataFrame:
+def tree(nodes: DataFrame, sep: str = "/") -> DataFrame:
     """Paths of ``nodes`` (node, parent: packed keys, one row per node; seg: its piece of a path).
 
     (node, trace_id, span_id, root, depth, path, endless): root is the root's span id, path the pieces from the root
-    on, joined by ``/``. A node whose parent is null or not among the nodes is a root. On or below a loop root, depth
+    on, joined by ``sep`` (or put together as they are, if that is empty: binary pieces of one length). A node whose parent is null or not among the nodes is a root. On or below a loop root, depth
     and path are null and endless is true.
     """
     ws = Workspace(nodes.sparkSession, "tree")
     nodes = ws.put("nodes", nodes)
-    # Paths are joined only where they end: on a loop they would double in every round.
-    loops = ws.put("loops", unending(nodes.filter("parent is not null").select("node", "parent"), ws))
-    known_loops, nodes = loops, nodes.join(loops, "node", "left_anti")
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    start = ws.put("start", lookup_join(ws.put("ending", nodes), known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.col("seg").alias("path")))
-    # The pool holds the nodes that pointers lead to. A node that is 2^(k+1) links above another is 2^k links above one
-    # too, so the pool only shrinks, like the active set; leaves are never in it.
+    start = lookup_join(nodes, known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.col("seg").alias("path"))
     state = ["node", "parent", "depth", "path", "root"]
-    begun = ws.put("begun", start.withColumn("root", F.when(F.col("parent").isNull(), packed_span("node"))).withColumn("depth", F.when(F.col("parent").isNull(), 0).otherwise(1)))
-    done, active, pool, k = [begun.filter("parent is null")], begun.filter("parent is not null"), begun, 0
-    while n := active.count():
-        led_to = active.select(F.col("parent").alias("node")).distinct()
-        pool = ws.put(f"pool{k}", pool.join(led_to, "node", "left_semi").select(*state))
+    begun = ws.put("begun", start.withColumn("root", F.when(F.col("parent").isNull(), packed_span("node"))).withColumn("depth", F.when(F.col("parent").isNull(), 0).otherwise(1)).select(*state))
+    total, left = begun.agg(F.count(F.lit(1)), F.count("parent")).first()
+    # Rounds go on while one frees a node. What none frees has no end (see ``unending``); its paths, which double in
+    # every round, are by then at most twice as long as the longest path there is.
+    done, active, pool, size, k = [begun.filter("parent is null")], begun.filter("parent is not null"), begun, total, 0
+    while left:
+        if size > max(4 * left, LARGE):
+            # The pool is cut to the nodes that pointers lead to. A node that is 2^(k+1) links above another is 2^k
+            # links above one too, so no later round misses one that is cut; leaves go at once.
+            led_to = active.select(F.col("parent").alias("node")).distinct()
+            pool = ws.put(f"pool{k}", pool.join(led_to, "node", "left_semi").select(*state))
+            size = pool.count()
         # A pointer that leads to an ended node ends too, one that leads to an active node takes over its pointer.
         target = pool.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("depth").alias("d"), F.col("path").alias("up"), F.col("root").alias("top"))
-        step = lookup_join(active.select("node", "parent", "depth", "path"), target, "parent", total=n)
-        step = ws.put(f"round{k}", step.select("node", F.col("next").alias("parent"), (F.col("depth") + F.col("d")).alias("depth"), F.concat_ws("/", "up", "path").alias("path"), F.col("top").alias("root")))
+        step = lookup_join(active.select("node", "parent", "depth", "path"), target, "parent", total=left)
+        step = ws.put(f"round{k}", step.select("node", F.col("next").alias("parent"), (F.col("depth") + F.col("d")).alias("depth"), (F.concat_ws(sep, "up", "path") if sep else F.concat("up", "path")).alias("path"), F.col("top").alias("root")))
+        n = step.filter("parent is not null").count()
+        if n == left:
+            break
         done.append(step.filter("parent is null"))
-        active, pool, k = step.filter("parent is not null"), pool.filter("parent is null").unionByName(step), k + 1
+        active, pool, size, left, k = step.filter("parent is not null"), pool.filter("parent is null").unionByName(step), size + left, n, k + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     none = F.lit(None)
-    out = out.select("node", "root", "depth", "path", F.lit(False).alias("endless")).unionByName(
-        known_loops.select("node", none.cast("string").alias("root"), none.cast("int").alias("depth"), none.cast("string").alias("path"), F.lit(True).alias("endless")))
+    out = out.select("node", "root", "depth", "path", F.lit(False).alias("endless"))
+    if left:
+        out = out.unionByName(active.select("node", none.cast("string").alias("root"), none.cast("int").alias("depth"), none.cast(dict(begun.dtypes)["path"]).alias("path"), F.lit(True).alias("endless")))
     return out.select("node", packed_trace("node").alias("trace_id"), packed_span("node").alias("span_id"), "root", F.col("depth").cast("bigint").alias("depth"), "path", "endless")
 
 
