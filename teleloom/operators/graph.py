@@ -49,15 +49,28 @@ def node_sizes(nodes: DataFrame, least: float = 20.0, most: float = 40.0) -> Dat
 
 
 def orphans(spans: DataFrame) -> DataFrame:
-    """Spans whose parent id is set but not in their trace."""
-    ids = spans.filter("span_id <> ''").select("trace_id", F.col("span_id").alias("parent_span_id"))
-    return spans.filter("parent_span_id <> ''").join(ids, ["trace_id", "parent_span_id"], "left_anti").select(*spans.columns)
+    """Spans whose parent id is set but not in their trace. A parent that many spans name is met by broadcast."""
+    child, known = _keyed(spans)
+    return lookup_join(child.filter("_key is not null"), known, "_key", "left").filter("_known is null").select(*spans.columns)
+
+
+def _keyed(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``spans``, stored, with the ``_key`` of their parent (null if unset); the keys of all spans, once each, with ``_known``."""
+    parent = F.when(F.col("parent_span_id") != "", pack_ids(F.col("trace_id"), F.col("parent_span_id")))
+    child = Workspace(spans.sparkSession, "parents").put("children", spans.withColumn("_key", parent))
+    known = child.filter("span_id <> ''").select(pack_ids(F.col("trace_id"), F.col("span_id")).alias("_key")).distinct().withColumn("_known", F.lit(True))
+    return child, known
 
 
 def with_children(spans: DataFrame) -> DataFrame:
-    """Spans that are the parent of another or of themselves."""
-    used = spans.filter("parent_span_id <> ''").select("trace_id", F.col("parent_span_id").alias("span_id")).distinct()
-    return spans.join(used, ["trace_id", "span_id"], "left_semi").select(*spans.columns)
+    """Spans that are the parent of another or of themselves.
+
+    The parents' keys are made distinct before they meet the spans, one row a key on either side.
+    """
+    child, _ = _keyed(spans)
+    used = child.filter("_key is not null").select(F.col("_key").alias("_own")).distinct()
+    own = F.when(F.col("span_id") != "", pack_ids(F.col("trace_id"), F.col("span_id")))
+    return child.withColumn("_own", own).join(used, "_own", "left_semi").select(*spans.columns)
 
 
 def span_tree(spans: DataFrame) -> DataFrame:

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from teleloom.functions.catalog import facet_rules, labels
 from teleloom.operators.metrics import METRIC, SERIES
+from teleloom.plans.skew import lookup_join
+from teleloom.plans.storage import Workspace
 
 #: The cardinality window of discovered facets.
 FACET_MIN, FACET_MAX = 2, 20
+#: Most metrics whose names are broadcast.
+FEW = 100_000
 
 
 def plain(json: Column) -> Column:
@@ -63,13 +67,21 @@ def nearest(points: DataFrame, cursor_ns: Column | int) -> DataFrame:
 
     Times are compared in milliseconds. First the point nearest to the cursor over all series of the metric is found
     (ties: the series that appeared first, in a series the earlier point), then in each series the point nearest to
-    it. Two aggregations; the cursor's time travels as one row per metric.
+    it. Two aggregations; the cursor's time travels as one row per metric, by broadcast where there are at most
+    ``FEW`` metrics, which are counted, else by a shuffle that splits the metrics of many points.
     """
     cursor = F.floor((cursor_ns if isinstance(cursor_ns, Column) else F.lit(cursor_ns)) / F.lit(10**6))
     p = points.withColumn("t", F.floor(F.col("ts_ns") / F.lit(10**6)))
     first = p.groupBy(*SERIES).agg(F.min("arrival_seq").alias("first"), F.min_by("t", F.struct(F.abs(F.col("t") - cursor), "t", "arrival_seq")).alias("near"))
     at = first.groupBy(*METRIC).agg(F.min_by("near", F.struct(F.abs(F.col("near") - cursor), "first")).alias("at"))
-    return p.join(at, METRIC).groupBy(*SERIES, "at").agg(F.min_by("value", F.struct(F.abs(F.col("t") - F.col("at")), "t", "arrival_seq")).alias("value")).select(*SERIES, F.col("at").alias("at_ms"), "value")
+    at = Workspace(points.sparkSession, "nearest").put("at", at)
+    if at.count() <= FEW:
+        met = p.join(F.broadcast(at), METRIC)
+    else:
+        key = F.md5(F.concat_ws("\x1f", *METRIC))
+        stored = Workspace(points.sparkSession, "nearest").put("points", p.withColumn("_key", key))
+        met = lookup_join(stored, at.withColumn("_key", key).drop(*METRIC), "_key")
+    return met.groupBy(*SERIES, "at").agg(F.min_by("value", F.struct(F.abs(F.col("t") - F.col("at")), "t", "arrival_seq")).alias("value")).select(*SERIES, F.col("at").alias("at_ms"), "value")
 
 
 def any_attributes(points: DataFrame) -> DataFrame:

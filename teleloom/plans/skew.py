@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from teleloom.plans.storage import Workspace
+
 #: A key is hot when it holds more than one row in so many. At most this many keys can be hot, which bounds what is broadcast.
 HOT_SHARE = 64
 
@@ -22,14 +24,23 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, total: int | None
     return [r[key] for r in top if r["n"] * share > max(total, share * 1000)]
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` itself if its plan only reads, filters and selects, else a stored copy."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    costly = ("Join ", "Aggregate ", "Window ", "Generate ", "MapIn", "FlatMapGroups", "Sort ")
+    return Workspace(df.sparkSession, "left").put("rows", df) if any(x in plan for x in costly) else df
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has at most one row per ``key``.
 
     Rows of hot keys meet their at most ``HOT_SHARE`` partner rows in a broadcast; all others go through a shuffle.
-    ``left`` should be a stored table, as it is read twice; ``total`` is its number of rows if known.
+    ``left`` is read twice or more: it is stored first unless it comes straight from files. ``total`` is its number
+    of rows if known.
     """
     if total is not None and total <= HOT_SHARE * 1000:
         return left.join(right, key, how)  # no key can be hot
+    left = _stored(left)
     hot = hot_keys(left, key, total=total)
     if not hot:
         return left.join(right, key, how)
