@@ -14,6 +14,7 @@ new generation, empty in all of this; what older generations hold is no longer r
 from __future__ import annotations
 
 import json
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -110,6 +111,8 @@ class Ingest:
 
     def __init__(self, store: SignalStore, listeners: list[Callable[[str, DataFrame, int], None]] | None = None, forward: list[Callable[[DataFrame, int], None]] | None = None,
                  ttl_ns: int | None = metrics.TTL_NS, series_cap: int = 50_000, trace_cap: int = 1000):
+        if min(series_cap, trace_cap) < 1:
+            raise ValueError("a capacity must be at least 1")
         self.store, self.listeners, self.forward = store, list(listeners or []), list(forward or [])
         self.ttl_ns, self.series_cap, self.trace_cap = ttl_ns, series_cap, trace_cap
 
@@ -245,8 +248,6 @@ def http_sink(url: str, headers: dict[str, str] | None = None, tries: int = 5, t
                     left -= 1
                     if left <= 0:
                         raise error
-                    import time
-
                     time.sleep(pause)
 
     return lambda requests, batch: requests.foreachPartition(post)

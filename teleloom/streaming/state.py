@@ -1,81 +1,10 @@
-"""Bounded state that depends on the order of events: first-in first-out retention with re-admission (W10, H1), series deltas (W1, W2, W6, W7), the live feed."""
+"""The live feed (S8) and the waits of its clients."""
 
 from __future__ import annotations
 
 import threading
-from collections import OrderedDict, deque
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
-
-
-class Fifo:
-    """Keys in order of insertion, at most ``cap`` of them. An update keeps a key's place; an evicted key that comes back is inserted anew."""
-
-    def __init__(self, cap: int):
-        if cap < 1:
-            raise ValueError("a capacity must be at least 1")
-        self.cap, self.items = cap, OrderedDict()
-
-    def upsert(self, key, value, merge: Callable | None = None):
-        """Inserts or merges; gives the evicted (key, value) or None."""
-        if key in self.items:
-            self.items[key] = merge(self.items[key], value) if merge else value
-            return None
-        gone = self.items.popitem(last=False) if len(self.items) >= self.cap else None
-        self.items[key] = value
-        return gone
-
-    def page(self, offset: int = 0, limit: int = 0) -> tuple[list, int]:
-        """Values newest first, and how many there are."""
-        rows = list(reversed(self.items.values()))[max(offset, 0) :]
-        return (rows[:limit] if limit > 0 else rows), len(self.items)
-
-    def clear(self) -> None:
-        self.items.clear()
-
-
-@dataclass
-class SeriesState:
-    """Baselines of cumulative series, by key and kind of state; idle ones expire, the longest idle go when there are too many."""
-
-    ttl: float = 600.0
-    cap: int = 50_000
-    seen: OrderedDict = field(default_factory=OrderedDict)
-
-    def _last(self, key, now: float):
-        old = self.seen.pop(key, None)
-        return None if old is None or now - old[0] > self.ttl else old[1]
-
-    def _keep(self, key, now: float, value) -> None:
-        self.seen[key] = (now, value)
-        while len(self.seen) > self.cap:
-            self.seen.popitem(last=False)
-
-    def number(self, key, raw: float, now: float) -> float | None:
-        """The delta; None for a first, reset or expired observation."""
-        key = ("number", key)
-        old = self._last(key, now)
-        self._keep(key, now, raw)
-        return None if old is None or raw < old else raw - old
-
-    def distribution(self, key, count: float, total: float | None, now: float) -> tuple[float, float | None] | None:
-        """(count, sum) deltas; a reset is told by the count."""
-        key = ("distribution", key)
-        old = self._last(key, now)
-        self._keep(key, now, (count, total))
-        if old is None or count < old[0]:
-            return None
-        return count - old[0], None if total is None or old[1] is None else total - old[1]
-
-    def prune(self, now: float) -> None:
-        while self.seen:
-            key, (at, _) = next(iter(self.seen.items()))
-            if now - at <= self.ttl:
-                return
-            self.seen.pop(key)
-
-    def clear(self) -> None:
-        self.seen.clear()
+from collections import deque
+from collections.abc import Iterable
 
 
 class Hub:

@@ -69,6 +69,16 @@ def test_series_key_ignores_order_of_attributes(spark):
     assert values(metrics.number_deltas(r)) == [3.0, 5.0]
 
 
+def test_state_of_series_expires_and_is_capped(spark):
+    at = lambda s: {"received_at": T0 + timedelta(seconds=s)}
+    hist = {"metric_type": "Histogram", "temporality": "Cumulative", "count": 2.0, "sum": 3.0}
+    r = raw(spark, [*cum(1, **at(0)), *cum(5, **at(1)), {**hist, **at(2)}, *cum(7, metric_name="old", **at(-700)), {"metric_type": "Gauge", "value": 1.0, **at(3)}, *cum(float("nan"), **at(4))])
+    assert rows(metrics.last_observed(r), "metric_name", "value", "count") == [("m", 5.0, None), ("m", None, 2.0), ("old", 7.0, None)]
+    assert rows(metrics.last_observed(r, metrics.TTL_NS), "metric_name", "value") == [("m", 5.0), ("m", None)]
+    assert rows(metrics.last_observed(r, cap=2), "metric_name", "count") == [("m", 2.0), ("old", None)]
+    assert metrics.last_observed(raw(spark, []), metrics.TTL_NS).count() == 0
+
+
 def test_merge_hides_a_baseline_and_keeps_the_first_description(spark):
     r = raw(spark, cum(100))
     assert metrics.merge(r, metrics.metric_points(r)).count() == 0
